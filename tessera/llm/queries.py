@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import exact, mixing, quality
+from tessera.llm import exact, html, licenses, minhash, mixing, packing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where a public tokenizer file lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -21,14 +27,40 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
+    "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_html_text": op7_html_text,
+    "op8_token_counts": op8_token_counts,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -37,7 +69,30 @@ _RULES = " AND ".join(
     f"(n_words < {r.from_words} OR coalesce({over}::DOUBLE / nullif({under}, 0), 0) BETWEEN {r.low} AND {r.high})" for r in quality.RULES for over, under in [quality.METRICS[r.metric]]
 )
 
+_TEMPLATES = ", ".join(f"('{name}', ['" + "', '".join(licenses.template_bigrams(text)) + "'])" for name, text in sorted(licenses.TEMPLATES.items()))
+
 ORACLE_SQL = {
+    "op5_license_scan": rf"""
+WITH n AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS norm FROM documents),
+u AS (SELECT rid, doc_id, 'line' AS unit, unnest(range(0, len(l))) AS unit_index, unnest(l) AS words FROM (SELECT *, string_split(norm, chr(10)) AS l FROM n)
+  UNION ALL SELECT rid, doc_id, 'paragraph', unnest(range(0, len(p))), unnest(p) FROM (SELECT rid, doc_id, list_filter(regexp_split_to_array(norm, '\n(?:[ ]?\n)+'), lambda x: contains(x, chr(10))) AS p FROM n)
+  UNION ALL SELECT rid, doc_id, 'text', 0, norm FROM n WHERE contains(norm, chr(10))),
+w AS (SELECT *, list_filter(regexp_split_to_array(words, '[ \n]+'), lambda x: x <> '') AS ws FROM u),
+g AS (SELECT rid, doc_id, unit, unit_index, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 400),
+t(license, tg) AS (VALUES {_TEMPLATES}),
+s AS (SELECT rid, doc_id, unit, unit_index, license, len(list_intersect(grams, tg)) * 2.0::DOUBLE / (len(grams) + len(tg)) AS dice FROM g, t WHERE len(grams) BETWEEN 0.6 * len(tg) AND 1.6 * len(tg)),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, unit, unit_index ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, unit, unit_index, license, dice FROM b WHERE k = 1""",
+    "op9_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op2_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),

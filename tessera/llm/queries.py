@@ -11,7 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Where a public tokenizer file lies on this machine and on the executors."""
     import public_tokenizers
 
@@ -28,7 +28,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    packed = packing.pack_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -45,7 +45,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,13 @@ from tessera.llm.common import materialize, small, word_count
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
-#: Units per hash-range bucket, on average.
-BUCKET_ROWS = 20_000
+#: Documents per hash-range bucket of a source, on average.
+BUCKET_ROWS = 2_000
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, target; weights repeat over sources in code point order, null last."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, n_docs, target; weights repeat over sources in code point order, null last."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     everything = W.partitionBy(F.lit(1))
     ranked = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
     ranked = ranked.withColumn("cap", max_copies * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
@@ -52,7 +52,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) ->
     fits = F.when(F.col("share") <= F.col("level"), F.struct("at", "share"))
     return (
         steps.withColumn("cut", F.min(fits).over(everything))
-        .select("source", "source_size", F.when(F.col("at") < F.col("cut.at"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("cut.share")).alias("target"))
+        .select("source", "source_size", "n_docs", F.when(F.col("at") < F.col("cut.at"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("cut.share")).alias("target"))
     )
 
 
@@ -76,14 +76,15 @@ def mix_units(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, se
     aims = small(materialize(targets(sized, weights, max_copies), "mix-targets"))
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
     units = units.withColumn("tokens", F.col("size") * F.col("times")).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    units = materialize(units.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(1 << 32))), "mix-units")
+    aims = aims.select(F.col("source").alias("t"), "source_size", "target", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("n_buckets"))
+    units = units.join(aims, F.col("source").eqNullSafe(F.col("t"))).drop("t")
+    units = materialize(units.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("n_buckets"), 32)), "mix-units")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = units.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = units.withColumn("own", F.sum("tokens").over(inside))
     placed = placed.join(small(materialize(offsets, "mix-offsets")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    aims = aims.select(F.col("source").alias("t"), "source_size", "target")
-    placed = placed.join(aims, F.col("source").eqNullSafe(F.col("t"))).withColumn("upto", F.col("before") + F.col("own"))
+    placed = placed.withColumn("upto", F.col("before") + F.col("own"))
     placed = materialize(placed.select("doc_id", "source", "size", "times", "tokens", "key", "upto", "source_size", "target"), "mix-placed")
     cut = _cut(placed, n_buckets, max_copies)
     taken = F.lit(0)

@@ -11,7 +11,7 @@ at least `similarity`; connected documents form a group of which the smallest do
    bits with random collisions corrected for, is far below the threshold are dropped; the rest are
    confirmed on their full sets, and components are formed.
 4. In buckets that still hold several components, all pairs across components are tested in the
-   join itself by the packed bits (failing pairs are never emitted) and confirmed like the first.
+   join itself, by the packed bits and then on their full sets; pairs that fail are never emitted.
    A bucket of near copies is one component by then, so no group is expanded into all its pairs,
    and no pair that shares a band and passes the estimate is left out.
 
@@ -126,17 +126,21 @@ def _close(a: str, b: str, percent: int) -> Column:
     return sizes & (_estimate(a, b) >= least)
 
 
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, set of the documents whose id is among `ids` (id)."""
+    ids = materialize(ids, "near-ids")
+    held = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    return materialize(held.select("doc_id", shingles(F.col("text"), width).alias("set")).filter(F.size("set") > 0).dropDuplicates(), "near-sets")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    sets = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = materialize(sets.select("doc_id", shingles(F.col("text"), width).alias("set")).filter(F.size("set") > 0).dropDuplicates(), "near-sets")
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), width)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
     links = materialize(held.filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b").distinct(), "near-links")
     release(sets)
-    release(ids)
     return links
 
 
@@ -161,14 +165,17 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY_P
     placed = banded.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = materialize(placed.join(mixed, "key").join(packed, "rep"), "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, across & _close("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = materialize(more.join(near, ["a", "b"], "left_anti"), "near-more")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent)
+    # Only rows that have such a partner are joined to their full sets; pairs are confirmed in the join.
+    busy = materialize(open_.alias("x").join(open_.alias("y"), apart, "left_semi"), "near-busy")
+    full = busy.join(_sets(docs, busy.select(F.col("rep").alias("id")).distinct(), width), F.col("rep") == F.col("doc_id"))
+    linked = (100 + percent) * F.size(F.array_intersect("x.set", "y.set")) >= percent * (F.size("x.set") + F.size("y.set"))
+    more = full.alias("x").join(full.alias("y"), (F.col("x.rep") < F.col("y.rep")) & apart & linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = materialize(more, "near-more")
     release(open_)
+    release(busy)
     if not more.isEmpty():
-        groups = materialize(connected_components(links.unionByName(_confirm(docs, more, width, percent))), "near-groups")
-    release(more)
+        groups = materialize(connected_components(links.unionByName(more)), "near-groups")
 
     labelled = classes.select(*digest, "rep").join(groups, F.col("rep") == F.col("node"), "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     linked = signed.filter("n > 0 and doc_id is not null").select("doc_id", *digest).join(labelled, digest).select("doc_id", "n", "component_id")

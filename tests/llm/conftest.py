@@ -1,0 +1,10 @@
+import pytest
+
+from tessera.session import get_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    session.sparkContext.setLogLevel("ERROR")
+    return session

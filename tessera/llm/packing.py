@@ -36,13 +36,16 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, by a `tokenizers` file."""
 
-    _DOUBLE, _ALONE = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)")
+    _DOUBLE, _ALONE, _WHITE = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer, self._limit = Tokenizer.from_file(path), remember
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
 
@@ -50,11 +53,24 @@ class Encoder:
         if len(known) > self._limit:
             known.clear()
         new = [s for s in dict.fromkeys(segments) if s not in known]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        plain = [s for s in new if s and not self._WHITE.search(s)] if lead else []
+        for at in range(0, len(plain), 256):
+            self._learn_joined(known, plain[at : at + 256])
+        rest = [s for s in new if s not in known] if plain else new
+        for at in range(0, len(rest), 2000):
+            part = rest[at : at + 2000]
             for s, e in zip(part, self._tokenizer.encode_batch_fast([lead + s for s in part], add_special_tokens=False), strict=True):
                 known[s] = np.asarray(e.ids, dtype="<u4").tobytes()
 
+    def _learn_joined(self, known: dict[str, bytes], part: list[str]) -> None:
+        """Segments without white space in one call: each begins with the only token that starts with a space."""
+        ids = np.asarray(self._tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        starts = (4 * np.flatnonzero(self._spaced[ids])).tolist()
+        if len(starts) != len(part) or starts[0]:
+            return  # a vocabulary of another kind: the caller encodes them one by one
+        raw = ids.tobytes()
+        known.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+
     def encode(self, text: str) -> bytes:
         segments = self._ALONE.split(text) if self._DOUBLE.search(text) else text.split(" ")
         head, tail = segments[0], segments[1:]

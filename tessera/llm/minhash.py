@@ -175,7 +175,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY_P
     release(open_)
     release(busy)
     if not more.isEmpty():
-        groups = materialize(connected_components(links.unionByName(more)), "near-groups")
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = materialize(connected_components(stars.unionByName(more)), "near-groups")
 
     labelled = classes.select(*digest, "rep").join(groups, F.col("rep") == F.col("node"), "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     linked = signed.filter("n > 0 and doc_id is not null").select("doc_id", *digest).join(labelled, digest).select("doc_id", "n", "component_id")

@@ -68,7 +68,7 @@ def performance(curve: DataFrame, threshold: float = 0.0) -> DataFrame:
     n = F.count(x)
     agg = r.groupBy("run_id").agg(
         F.count("*").alias("bars"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-        F.sqrt(F.avg(F.pow(F.least(x - threshold, F.lit(0.0)), F.lit(2.0)))).alias("down"), F.min("drawdown").alias("max_drawdown"),
+        F.sqrt(F.avg(F.when(x.isNotNull(), F.pow(F.least(x - threshold, F.lit(0.0)), F.lit(2.0))))).alias("down"), F.min("drawdown").alias("max_drawdown"),
         F.count_if(x > 0).alias("n_up"), n.alias("n"), F.avg(F.when(x > 0, x)).alias("avg_win"), F.avg(F.when(x < 0, x)).alias("avg_loss"),
         F.sum(F.when(x > 0, x).otherwise(0.0)).alias("won"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias("lost"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
     )

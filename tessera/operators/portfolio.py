@@ -275,6 +275,7 @@ def limit_turnover(weights: DataFrame, maximum: float | None, run: str | None =
     """
     if not maximum or maximum <= 0:
         return weights
+    columns = weights.columns
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="ts", columns="symbol", values="weight").sort_index().fillna(0.0)
@@ -285,12 +286,11 @@ def limit_turnover(weights: DataFrame, maximum: float | None, run: str | None =
             out.append(held)
         wide.iloc[:, :] = np.array(out)
         long = wide.reset_index().melt(id_vars="ts", value_name="weight", var_name="symbol")
-        return long.assign(**{run: frame[run].iloc[0]})[weights.columns] if run else long[weights.columns]
+        return long.assign(**{run: frame[run].iloc[0]})[columns] if run else long[columns]
 
-    keyed = weights if run else weights.withColumn("_run", F.lit(1))
     if run:
-        return keyed.groupBy(run).applyInPandas(one, weights.schema)
-    return keyed.groupBy("_run").applyInPandas(lambda f: one(f.drop(columns="_run")), weights.schema)
+        return weights.groupBy(run).applyInPandas(one, weights.schema)
+    return weights.withColumn("_run", F.lit(1)).groupBy("_run").applyInPandas(one, weights.schema)
 
 
 def drop_unchanged(weights: DataFrame, tolerance: float = 1e-12) -> DataFrame:

@@ -272,6 +272,8 @@ def simulate(market: DataFrame, targets: DataFrame, execution: Execution | None
     """
     execution, costs, risk, options = execution or Execution(), costs or Costs(), risk or Risk(), options or {}
     have = [c for c in _FIELDS if c in market.columns]
+    # Both are read by several branches below; they spill to disk where memory is short.
+    market, targets = market.persist(), targets.select("run_id", "ts", "symbol", "weight").persist()
     names = targets.select("run_id", "symbol").distinct()
     dates = market.select("ts").distinct()
     runs = targets.select("run_id").distinct()
@@ -308,6 +310,7 @@ def trades(result: DataFrame) -> DataFrame:
 
 def check_invariants(result: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Per run: cash + positions = equity on all dates; traded shares + splits = shares held at the end."""
+    result = result.persist()
     e = equity(result)
     scale = F.greatest(F.max(F.abs("equity")), F.lit(1.0))
     books = e.groupBy("run_id").agg((F.max(F.abs(F.col("cash") + F.col("position_value") - F.col("equity"))) <= tolerance * scale).alias("balanced"), F.count_if(F.col("equity").isNull()).alias("n_missing"), F.max("ts").alias("ts"))

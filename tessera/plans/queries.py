@@ -28,13 +28,25 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many digits, without a negative zero."""
-    return df.select([(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """Doubles to so many digits, without a negative zero. A shift keeps exact halves off the edge."""
+    return df.select([(F.round(F.col(c) + F.lit(shift), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+_KEPT: dict = {}
+
+
+def held(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """Panels that several branches of one query read are kept once a session (they spill to disk)."""
+    key = (spark.sparkContext.applicationId, *key)
+    found = _KEPT.get(key)
+    if found is None or not found.storageLevel.useDisk:
+        found = _KEPT[key] = make().persist()
+    return found
 
 
 def week(spark: SparkSession, sf: str) -> DataFrame:
-    return source.derive_bars(spark, sf, "week")
+    return held(spark, (sf, "week"), lambda: source.derive_bars(spark, sf, "week"))
 
 
 def day(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +62,8 @@ D = "PARTITION BY ts"
 def bars_sql(unit: str, name: str = "bars") -> str:
     symbol, join = ("l_suppkey::VARCHAR", "") if unit == "day" else ("p_brand", " JOIN part ON l_partkey = p_partkey")
     return (
-        f"{name} AS (SELECT ts, symbol, open, high, low, close, volume, round(close * (1 - disc), 6) AS adj_close, NULL::DOUBLE AS adj_factor, 0.0::DOUBLE AS dividend, 0.0::DOUBLE AS split_ratio, repaired FROM ("
-        "SELECT symbol, ts, round(arg_min(px, o), 6) AS open, round(max(px), 6) AS high, round(min(px), 6) AS low, round(arg_max(px, o), 6) AS close, sum(l_quantity) AS volume, round(avg(l_discount), 6) AS disc, bool_or(l_returnflag = 'R') AS repaired FROM ("
+        f"{name} AS (SELECT ts, symbol, open, high, low, close, volume, close * (1 - disc) AS adj_close, NULL::DOUBLE AS adj_factor, 0.0::DOUBLE AS dividend, 0.0::DOUBLE AS split_ratio, repaired FROM ("
+        "SELECT symbol, ts, arg_min(px, o) AS open, max(px) AS high, min(px) AS low, arg_max(px, o) AS close, sum(l_quantity) AS volume, max(l_discount) AS disc, bool_or(l_returnflag = 'R') AS repaired FROM ("
         f"SELECT {symbol} AS symbol, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS px, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS o, l_quantity, l_discount, l_returnflag FROM lineitem{join}) GROUP BY symbol, ts))"
     )
 
@@ -68,8 +80,8 @@ def L(x: str, k: int = 1) -> str:
     return f"lag({x}, {k}) OVER ({S})" if k > 0 else f"lead({x}, {-k}) OVER ({S})"
 
 
-def out(columns: dict[str, str], frm: str, keys: str = "ts, symbol") -> str:
-    return f"SELECT {keys}, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in columns.items()) + f" FROM {frm}"
+def out(columns: dict[str, str], frm: str, keys: str = "ts, symbol", digits: int = 6, shift: float = 0.0) -> str:
+    return f"SELECT {keys}, " + ", ".join(f"round(({e}) + {shift}::DOUBLE, {digits}) + 0.0 AS {n}" for n, e in columns.items()) + f" FROM {frm}"
 
 
 def rank_sql(x: str) -> str:
@@ -97,12 +109,14 @@ def root_sql(x: str) -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN sqrt(greatest({x}, 0)) END"
 
 
-def feature_query(name: str, names: list[str], columns: dict[str, str] | None, cte: str = F2, frm: str = "f2"):
+def feature_query(name: str, names: list[str], columns: dict[str, str] | None, cte: str = F2, frm: str = "f2", digits: int = 6):
+    shift = 0.013 * 10.0**-digits
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(feats.features(week(spark, sf), names))
+        return rounded(feats.features(week(spark, sf), names), digits, shift)
 
     run.__name__ = name
-    query(f"WITH RECURSIVE {cte} " + out(columns, frm) if columns else None)(run)
+    query(f"WITH RECURSIVE {cte} " + out(columns, frm, digits=digits, shift=shift) if columns else None)(run)
 
 
 # --- bars, cleaning, catalog -----------------------------------------------------------------------
@@ -245,7 +259,7 @@ _K = 0.34 / (1.34 + 21 / 19)
 feature_query("feat_yang_zhang", ["yang_zhang_20d"], {"yang_zhang_20d": f"({root_sql(f'({R("var_samp", "lop", 20)}) + {_K} * ({R("var_samp", "lco", 20)}) + {1 - _K} * ({R("avg", "rs", 20)})')}) * {A}"})
 feature_query("feat_shape", ["sharpe_252d", "sortino_252d", "skew_252d", "kurt_252d", "hit_rate_252d"], {"sharpe_252d": f"({R('avg', 'ret_1d', 252)}) / nullif({R('stddev_samp', 'ret_1d', 252)}, 0) * {A}", "sortino_252d": f"({R('avg', 'ret_1d', 252)}) / nullif({R('stddev_samp', 'down_r', 252)}, 0) * {A}", "skew_252d": R("skewness", "ret_1d", 252), "kurt_252d": R("kurtosis", "ret_1d", 252), "hit_rate_252d": R("avg", "CASE WHEN ret_1d IS NOT NULL THEN (ret_1d > 0)::INT::DOUBLE END", 252)})
 feature_query("feat_drawdown", ["dd_from_252d_high", "max_dd_252d"], {"dd_from_252d_high": "dd", "max_dd_252d": R("min", "dd", 252)})
-feature_query("feat_liquidity", ["dollar_vol", "advd_20", "advd_60", "amihud_60d", "vol_zscore_20", "dist_vwap_20", "zero_vol_frac_20", "stale_px_frac_20"], {"dollar_vol": "dollar_vol", "advd_20": R("avg", "dollar_vol", 20), "advd_60": R("avg", "dollar_vol", 60), "amihud_60d": f"({R('avg', 'illiq', 60)}) * 1000000", "vol_zscore_20": f"(v - ({R('avg', 'v', 20)})) / nullif({R('stddev_samp', 'v', 20)}, 0)", "dist_vwap_20": f"close / nullif(({R('sum', 'rtpv', 20)}) / nullif({R('sum', 'v', 20)}, 0), 0) - 1", "zero_vol_frac_20": R("avg", "(v = 0)::INT::DOUBLE", 20), "stale_px_frac_20": R("avg", "stale", 20)})
+feature_query("feat_liquidity", ["dollar_vol", "advd_20", "advd_60", "amihud_60d", "vol_zscore_20", "dist_vwap_20", "zero_vol_frac_20", "stale_px_frac_20"], {"dollar_vol": "dollar_vol", "advd_20": R("avg", "dollar_vol", 20), "advd_60": R("avg", "dollar_vol", 60), "amihud_60d": f"({R('avg', 'illiq', 60)}) * 1000000", "vol_zscore_20": f"(v - ({R('avg', 'v', 20)})) / nullif({R('stddev_samp', 'v', 20)}, 0)", "dist_vwap_20": f"close / nullif(({R('sum', 'rtpv', 20)}) / nullif({R('sum', 'v', 20)}, 0), 0) - 1", "zero_vol_frac_20": R("avg", "(v = 0)::INT::DOUBLE", 20), "stale_px_frac_20": R("avg", "stale", 20)}, digits=3)
 feature_query("feat_obv", ["obv"], {"obv": f"sum(signed_v) OVER ({S} ROWS UNBOUNDED PRECEDING)"})
 feature_query("feat_bollinger", ["bb_pctb_20", "bb_width_20", "zscore_20"], {"bb_pctb_20": "(c - (m20 - 2 * s20)) / nullif(4 * s20, 0)", "bb_width_20": "4 * s20 / m20", "zscore_20": "(c - m20) / nullif(s20, 0)"})
 feature_query("feat_stochastic", ["stoch_k_14", "stoch_d_14", "willr_14"], {"stoch_k_14": "stoch", "stoch_d_14": R("avg", "stoch", 3), "willr_14": "stoch - 100"})
@@ -265,9 +279,9 @@ def recursion(name: str, source_: str, start: int, sums: dict[str, tuple[str, st
 _W14 = "(1.0::DOUBLE / 14)"
 feature_query("feat_rsi", ["rsi_14"], {"rsi_14": "CASE WHEN n.rn >= 15 THEN 100 * e.g / nullif(e.g + e.lo, 0) END"}, _N + recursion("e", "n", 2, {"g": ("gain", _W14), "lo": ("loss", _W14)}), "n LEFT JOIN e USING (symbol, rn)")
 _MACD = _N + recursion("e", "n", 1, {"fast": ("c", "(2.0::DOUBLE / 13)"), "slow": ("c", "(2.0::DOUBLE / 27)")}) + ", m AS (SELECT symbol, rn, fast - slow AS line FROM e WHERE rn >= 26)" + recursion("s", "m", 26, {"sig": ("line", "0.2::DOUBLE")})
-feature_query("feat_macd", ["macd_line", "macd_signal", "macd_hist"], {"macd_line": "m.line", "macd_signal": "CASE WHEN n.rn >= 34 THEN s.sig END", "macd_hist": "CASE WHEN n.rn >= 34 THEN m.line - s.sig END"}, _MACD, "n LEFT JOIN m USING (symbol, rn) LEFT JOIN s USING (symbol, rn)")
+feature_query("feat_macd", ["macd_line", "macd_signal", "macd_hist"], {"macd_line": "m.line", "macd_signal": "CASE WHEN n.rn >= 34 THEN s.sig END", "macd_hist": "CASE WHEN n.rn >= 34 THEN m.line - s.sig END"}, _MACD, "n LEFT JOIN m USING (symbol, rn) LEFT JOIN s USING (symbol, rn)", 3)
 _ATR = _N + recursion("e", "n", 1, {"atr": ("tr", _W14), "p": ("pdm", _W14), "m": ("mdm", _W14)})
-feature_query("feat_atr", ["atr_14", "natr_14"], {"atr_14": "CASE WHEN n.rn >= 14 THEN e.atr END", "natr_14": "CASE WHEN n.rn >= 14 THEN e.atr / n.c END"}, _ATR, "n LEFT JOIN e USING (symbol, rn)")
+feature_query("feat_atr", ["atr_14", "natr_14"], {"atr_14": "CASE WHEN n.rn >= 14 THEN e.atr END", "natr_14": "CASE WHEN n.rn >= 14 THEN e.atr / n.c END"}, _ATR, "n LEFT JOIN e USING (symbol, rn)", 3)
 feature_query("feat_adx", ["adx_14"], {"adx_14": "CASE WHEN n.rn >= 27 THEN a.adx END"}, _ATR + ", dx AS (SELECT symbol, rn, 100 * abs(p - m) / (p + m) AS dx FROM e WHERE rn >= 14)" + recursion("a", "dx", 14, {"adx": ("dx", _W14)}), "n LEFT JOIN a USING (symbol, rn)")
 
 
@@ -290,6 +304,10 @@ _PANEL = ["close", "ret_1d", "ret_5d", "ret_21d", "mom_12_1", "vol_20d", "advd_2
 
 def panel(spark, sf) -> DataFrame:
     """The weekly panel; values that are ranked are rounded first, so that ties are the same everywhere."""
+    return held(spark, (sf, "panel"), lambda: _panel(spark, sf))
+
+
+def _panel(spark, sf) -> DataFrame:
     f = feats.features(week(spark, sf), _PANEL)
     return f.withColumns({c: F.round(c, 6 if c == "advd_20" else 9) for c in ("ret_21d", "mom_12_1", "vol_20d", "advd_20", "stale_px_frac_20")})
 
@@ -318,9 +336,11 @@ def cs_zscore(spark, sf):
 M = P + ", m0 AS (SELECT ts, CASE WHEN count(ret_1d) >= 20 THEN avg(ret_1d) END AS m FROM p GROUP BY ts), m1 AS (SELECT *, exp(sum(ln(1 + coalesce(m, 0))) OVER (ORDER BY ts)) AS x, row_number() OVER (ORDER BY ts) AS d FROM m0)"
 
 
-@query("WITH " + M + " " + out({"mkt_ret_1d": "m", "mkt_ret_21d": "x / lag(x, 21) OVER (ORDER BY ts) - 1", "mkt_ret_252d": "x / lag(x, 252) OVER (ORDER BY ts) - 1", "mkt_index": "CASE WHEN m IS NOT NULL THEN x END", "mkt_vol_20d": f"CASE WHEN count(m) OVER w >= 20 THEN stddev_samp(m) OVER w * {A} END"}, "m1 WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING)", "ts"))
+@query("WITH " + M + " " + out({"mkt_ret_1d": "m", "mkt_ret_21d": "ln(x / lag(x, 21) OVER (ORDER BY ts))", "mkt_ret_252d": "ln(x / lag(x, 252) OVER (ORDER BY ts))", "mkt_index": "CASE WHEN m IS NOT NULL THEN ln(x) END", "mkt_vol_20d": f"CASE WHEN count(m) OVER w >= 20 THEN stddev_samp(m) OVER w * {A} END"}, "m1 WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING)", "ts"))
 def market_series(spark, sf):
-    return rounded(cross_section.market(panel(spark, sf)))
+    """The synthetic returns compound beyond all scale, so the compounded columns are compared as logarithms."""
+    m = cross_section.market(panel(spark, sf))
+    return rounded(m.withColumns({"mkt_index": F.ln("mkt_index"), **{c: F.ln(1 + F.col(c)) for c in ("mkt_ret_21d", "mkt_ret_252d")}}))
 
 
 _FR = "(PARTITION BY symbol ORDER BY d RANGE BETWEEN 251 PRECEDING AND CURRENT ROW)"
@@ -332,9 +352,10 @@ def beta_corr_idio(spark, sf):
     return rounded(cross_section.risk_to_market(panel(spark, sf)))
 
 
-@query("WITH " + M + ", m2 AS (SELECT ts, x / lag(x, 21) OVER (ORDER BY ts) - 1 AS m21 FROM m1) " + out({"rel_ret_21d": "ret_21d - m21"}, "p JOIN m2 USING (ts)"))
+@query("WITH " + M + ", m2 AS (SELECT ts, x / lag(x, 21) OVER (ORDER BY ts) - 1 AS m21 FROM m1) " + out({"rel_ret_21d": "sign(ret_21d - m21) * ln(1 + abs(ret_21d - m21))"}, "p JOIN m2 USING (ts)"))
 def rel_ret(spark, sf):
-    return rounded(cross_section.relative_return(panel(spark, sf)))
+    x = F.col("rel_ret_21d")
+    return rounded(cross_section.relative_return(panel(spark, sf)).withColumn("rel_ret_21d", F.signum(x) * F.ln(1 + F.abs(x))))
 
 
 @query("WITH " + bars_sql("day") + ", g AS (SELECT s.symbol, t.ts FROM (SELECT DISTINCT symbol FROM bars) s, (SELECT DISTINCT ts FROM bars) t) SELECT g.symbol, count(*) AS dates, count(close) AS n_bars FROM g LEFT JOIN bars b ON b.ts = g.ts AND b.symbol = g.symbol GROUP BY g.symbol")
@@ -614,6 +635,10 @@ def select_universe(spark, sf):
 
 
 def _market(spark, sf):
+    return held(spark, (sf, "market"), lambda: _make_market(spark, sf))
+
+
+def _make_market(spark, sf):
     f = feats.features(week(spark, sf), ["vol_20d", "advd_20"])
     return week(spark, sf).select("ts", "symbol", "open", "high", "low", "close", "volume", "dividend", "split_ratio").join(f, ["ts", "symbol"])
 
@@ -655,17 +680,21 @@ def invariants(spark, sf):
 _ORD = F2 + f", o AS (SELECT ts, symbol, trunc(v / 3) AS qty, close AS price, high, low, close, {R('stddev_samp', 'logret_1d', 20)} * {A} AS sigma, {R('avg', 'dollar_vol', 20)} AS advd FROM f2), o2 AS (SELECT *, abs(qty) * price AS notional FROM o)"
 
 
-@query("WITH " + _ORD + " " + out({"notional": "notional", "commission": "notional * 0.00005::DOUBLE", "spread": "notional * greatest(0.0002::DOUBLE, least(greatest(coalesce(0.02::DOUBLE * (high - low) / nullif(close, 0), 0), 0), 0.01::DOUBLE))", "slippage": "notional * 0.1::DOUBLE * coalesce(sigma, 0.02::DOUBLE) / sqrt(252.0::DOUBLE) * sqrt(coalesce(least(notional / nullif(advd, 0), 1), 0))"}, "o2"))
+@query("WITH " + _ORD + " " + out({"notional": "notional", "commission": "notional * 0.00005::DOUBLE", "spread": "notional * greatest(0.0002::DOUBLE, least(greatest(coalesce(0.02::DOUBLE * (high - low) / nullif(close, 0), 0), 0), 0.01::DOUBLE))", "slippage": "notional * 0.1::DOUBLE * coalesce(sigma, 0.02::DOUBLE) / sqrt(252.0::DOUBLE) * sqrt(coalesce(least(notional / nullif(advd, 0), 1), 0))"}, "o2", digits=4, shift=1.3e-6))
 def cost_components(spark, sf):
     f = feats.features(week(spark, sf), ["vol_20d", "advd_20"])
     orders = week(spark, sf).join(f, ["ts", "symbol"]).select("ts", "symbol", F.floor(F.col("volume") / 3).cast("double").alias("qty"), F.col("close").alias("price"), "high", "low", "close", F.col("vol_20d").alias("sigma"), F.col("advd_20").alias("advd"))
-    return rounded(simulate.cost_components(orders).select("ts", "symbol", "notional", "commission", "spread", "slippage"))
+    return rounded(simulate.cost_components(orders).select("ts", "symbol", "notional", "commission", "spread", "slippage"), 4, 1.3e-6)
 
 
 _SPEC = strategy.Spec.from_dict({"name": "weekly_momentum", "components": [{"signal": "momentum_12_1"}, {"signal": "low_vol_20d", "weight": 0.5}], "construction": {"quantiles": 5}, "constraints": {"max_weight_per_name": 0.3, "max_net": 0.1}, "rebalance": "monthly", "execution": {"participation_rate": 1.0}, "initial_capital": 100_000.0})
 
 
 def _full_panel(spark, sf):
+    return held(spark, (sf, "full"), lambda: _make_full(spark, sf))
+
+
+def _make_full(spark, sf):
     return _market(spark, sf).join(panel(spark, sf).select("ts", "symbol", "mom_12_1", "ret_1d", "ret_5d", "stale_px_frac_20"), ["ts", "symbol"])
 
 

@@ -153,7 +153,7 @@ def sweep(spec: Spec, panel: DataFrame, grid: dict[str, list], section: str = "c
     parameters = {f"sweep-{k:04d}": dict(zip(names, values, strict=True)) for k, values in enumerate(combinations)}
     engine = section in ("execution", "costs", "risk")
     parts = []
-    shared = targets(spec, panel, groups) if engine else None
+    shared = targets(spec, panel, groups).persist() if engine else None
     for run_id, own in parameters.items():
         made = shared if engine else targets(spec.override(section, **own), panel, groups)
         parts.append(made.withColumn("run_id", F.lit(run_id)))

@@ -24,17 +24,17 @@ def derive_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFra
     px = F.col("l_extendedprice") / F.col("l_quantity")
     place = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", px.alias("px"))
     made = keyed.groupBy("symbol", F.date_trunc(unit, "l_shipdate").alias("ts")).agg(
-        F.round(F.min(place)["px"], 6).alias("open"),
-        F.round(F.max(px), 6).alias("high"),
-        F.round(F.min(px), 6).alias("low"),
-        F.round(F.max(place)["px"], 6).alias("close"),
+        F.min(place)["px"].alias("open"),
+        F.max(px).alias("high"),
+        F.min(px).alias("low"),
+        F.max(place)["px"].alias("close"),
         F.sum("l_quantity").alias("volume"),
-        F.round(F.avg("l_discount"), 6).alias("discount"),
+        F.max("l_discount").alias("discount"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("r"),
     )
     return made.select(
         F.col("ts").cast("timestamp").alias("ts"), "symbol", "open", "high", "low", "close", "volume",
-        F.round(F.col("close") * (1 - F.col("discount")), 6).alias("adj_close"),
+        (F.col("close") * (1 - F.col("discount"))).alias("adj_close"),
         F.lit(None).cast("double").alias("adj_factor"), F.lit(0.0).alias("dividend"), F.lit(0.0).alias("split_ratio"), (F.col("r") == 1).alias("repaired"),
     )
 

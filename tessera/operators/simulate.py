@@ -332,7 +332,8 @@ def cost_components(orders: DataFrame, costs: Costs | None = None) -> DataFrame:
     fee = F.when(notional > 0, F.greatest(notional * (c.commission_bps * BPS) + F.abs("qty") * c.commission_per_share, F.lit(c.min_commission))).otherwise(0.0)
     width = F.coalesce(F.try_divide(c.range_spread_factor * (F.col("high") - F.col("low")), F.when(F.col("close") > 0, F.col("close"))), F.lit(0.0))
     half = F.greatest(F.lit(c.half_spread_bps * BPS), F.least(F.greatest(width, F.lit(0.0)), F.lit(c.max_half_spread))) if c.estimate_spread_from_range else F.lit(c.half_spread_bps * BPS)
-    share = F.sqrt(F.coalesce(F.least(F.try_divide(notional, F.when(F.col("advd") > 0, F.col("advd"))), F.lit(1.0)), F.lit(0.0)))
+    used = F.try_divide(notional, F.col("advd"))
+    share = F.when(F.col("advd") > 0, F.sqrt(F.least(used, F.lit(1.0)))).otherwise(0.0)
     slip = notional * c.impact_coefficient * F.coalesce("sigma", F.lit(0.02)) / float(np.sqrt(YEAR)) * share
     on = 1.0 if c.enabled else 0.0
     return orders.withColumns({"notional": notional, "commission": fee * on, "spread": notional * half * on, "slippage": slip * on})

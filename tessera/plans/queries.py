@@ -680,7 +680,7 @@ def invariants(spark, sf):
 _ORD = F2 + f", o AS (SELECT ts, symbol, trunc(v / 3) AS qty, close AS price, high, low, close, {R('stddev_samp', 'logret_1d', 20)} * {A} AS sigma, {R('avg', 'dollar_vol', 20)} AS advd FROM f2), o2 AS (SELECT *, abs(qty) * price AS notional FROM o)"
 
 
-@query("WITH " + _ORD + " " + out({"notional": "notional", "commission": "notional * 0.00005::DOUBLE", "spread": "notional * greatest(0.0002::DOUBLE, least(greatest(coalesce(0.02::DOUBLE * (high - low) / nullif(close, 0), 0), 0), 0.01::DOUBLE))", "slippage": "notional * 0.1::DOUBLE * coalesce(sigma, 0.02::DOUBLE) / sqrt(252.0::DOUBLE) * sqrt(coalesce(least(notional / nullif(advd, 0), 1), 0))"}, "o2", digits=4, shift=1.3e-6))
+@query("WITH " + _ORD + " " + out({"notional": "notional", "commission": "notional * 0.00005::DOUBLE", "spread": "notional * greatest(0.0002::DOUBLE, least(greatest(coalesce(0.02::DOUBLE * (high - low) / nullif(close, 0), 0), 0), 0.01::DOUBLE))", "slippage": "notional * 0.1::DOUBLE * coalesce(sigma, 0.02::DOUBLE) / sqrt(252.0::DOUBLE) * CASE WHEN advd > 0 THEN sqrt(least(notional / advd, 1)) ELSE 0 END"}, "o2", digits=4, shift=1.3e-6))
 def cost_components(spark, sf):
     f = feats.features(week(spark, sf), ["vol_20d", "advd_20"])
     orders = week(spark, sf).join(f, ["ts", "symbol"]).select("ts", "symbol", F.floor(F.col("volume") / 3).cast("double").alias("qty"), F.col("close").alias("price"), "high", "low", "close", F.col("vol_20d").alias("sigma"), F.col("advd_20").alias("advd"))

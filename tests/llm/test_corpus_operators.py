@@ -216,7 +216,11 @@ def test_chunks_cover_texts_and_resist_insertions():
     text = random_text(rng, 3000)
     ends = substring.chunk_ends(np.frombuffer(text.encode(), np.uint8))
     assert ends[-1] == len(text) and ends == sorted(set(ends))
-    pieces = lambda t: {t[a:b] for a, b in zip([0, *(e := substring.chunk_ends(np.frombuffer(t.encode(), np.uint8)))], e, strict=False)}
+
+    def pieces(t):
+        cuts = substring.chunk_ends(np.frombuffer(t.encode(), np.uint8))
+        return {t[a:b] for a, b in zip([0, *cuts], cuts, strict=False)}
+
     assert len(pieces(text) - pieces("inserted words " + text)) <= 4
     long_word = substring.chunk_ends(np.frombuffer(b"x" * 5000, np.uint8))
     assert max(np.diff([0, *long_word])) <= substring.MAX_BYTES

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small
+from tessera.llm.common import materialize
 
 MIN_BYTES, MAX_BYTES = 16, 1024
 CUT_BITS = 2
@@ -104,7 +104,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     key = ["d1", "d2"]
     common = all_chunks.groupBy(*key).agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).filter("times > 1").select(*key, "keeper")
     common = materialize(common, "chunk-digests")
-    again = all_chunks.join(small(common), key)
+    again = all_chunks.join(common, key)
     # Within its keeper the first place of a chunk stays; repeated rows of a document are one.
     again = again.repartition("doc_id")
     place = F.row_number().over(W.partitionBy("doc_id", "at").orderBy("start", "d1"))

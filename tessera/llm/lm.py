@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ascii_lower, materialize, words
 
 ALPHA, ORDER = 0.4, 2
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 600_000
 #: N-grams of one partition of the count table, on average and before they are merged.
-TABLE_GRAMS = 2_500_000
+TABLE_GRAMS = 1_500_000
 _BLOCKS = "block string, doc_ids binary, no_id binary, lengths binary, words binary, vocabulary binary, n_words long"
 
 
@@ -47,6 +47,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Low bytes first, then the next ones …: planes of sorted or small numbers compress well in a shuffle."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _block(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _BLOCKS.split(", ")]
     for batch in batches:
@@ -56,10 +66,13 @@ def _block(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.R
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, ends[at] + block_words, side="right")) - 1)
             values = np.asarray(lists.values)[ends[at] : ends[end]]
-            vocabulary, numbers = np.unique(values, return_inverse=True)
+            vocabulary, numbers, counts = np.unique(values, return_inverse=True, return_counts=True)
+            by = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+            place = np.empty(len(by), np.uint32)
+            place[by] = np.arange(len(by), dtype=np.uint32)
             own = ids.slice(at, end - at)
-            arrays = [own.fill_null(0).to_numpy(), np.asarray(own.is_null()).astype(np.uint8), np.diff(ends[at : end + 1]), numbers.astype(np.uint32), vocabulary]
-            row = [uuid.uuid4().hex, *[a.tobytes() for a in arrays], len(values)]
+            arrays = [own.fill_null(0).to_numpy(), np.asarray(own.is_null()).astype(np.uint8), np.diff(ends[at : end + 1]), place[numbers], vocabulary[by]]
+            row = [uuid.uuid4().hex, *[_pack(a) for a in arrays], len(values)]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=names)
             at = end
 
@@ -68,8 +81,8 @@ class Grams:
     """The n-grams of a block: for each order the distinct ones and where they occur."""
 
     def __init__(self, lengths: bytes, numbers: bytes, vocabulary: bytes, order: int):
-        self.lengths = np.frombuffer(lengths, np.int64)
-        numbers, self.vocabulary = np.frombuffer(numbers, np.uint32).astype(np.int64), np.frombuffer(vocabulary, np.uint64)
+        self.lengths = _unpack(lengths, np.int64)
+        numbers, self.vocabulary = _unpack(numbers, np.uint32).astype(np.int64), _unpack(vocabulary, np.uint64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         start = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.place = np.arange(len(numbers)) - start  # in its document
@@ -125,16 +138,16 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words
                 by, bounds = _order(keys, parts)
                 keys, counts = keys[by], counts[by]
                 spans = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-                rows = [[p for p, _, _ in spans], [block] * len(spans), [keys[a:b].tobytes() for _, a, b in spans], [counts[a:b].tobytes() for _, a, b in spans]]
+                rows = [[p for p, _, _ in spans], [block] * len(spans), [_pack(keys[a:b]) for _, a, b in spans], [_pack(counts[a:b]) for _, a, b in spans]]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "block", "keys", "counts"])
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in frame["keys"]])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in frame["counts"]])
+        keys = np.concatenate([_unpack(k, np.uint64) for k in frame["keys"]])
+        counts = np.concatenate([_unpack(c, np.uint32) for c in frame["counts"]])
         _, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
         bounds = np.cumsum([0, *[len(k) // 8 for k in frame["keys"]]])
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "totals": [totals[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "totals": [_pack(totals[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
 
     sent = blocks.select("block", "lengths", "words", "vocabulary").mapInArrow(send, "part int, block string, keys binary, counts binary")
     back = sent.groupBy("part").applyInPandas(add_up, "block string, part int, totals binary")
@@ -147,7 +160,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words
                 grams = Grams(row["lengths"], row["words"], row["vocabulary"], order)
                 by, _ = _order(np.concatenate(grams.keys), parts)
                 totals = np.empty(len(by), np.int64)
-                totals[by] = np.frombuffer(b"".join(row["totals"] or []), np.int64)
+                totals[by] = np.concatenate([np.empty(0, np.int64), *[_unpack(t, np.int64) for t in row["totals"] or []]])
                 cuts = np.cumsum([len(k) for k in grams.keys])[:-1]
                 found = []  # by order: occurrences in other documents of the n-gram that ends at each word
                 for k, held in enumerate(np.split(totals, cuts)):
@@ -166,7 +179,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words
                 sums = np.bincount(grams.doc, weights=np.log(value), minlength=len(n))
                 off = np.bincount(grams.doc, weights=backed, minlength=len(n)).astype(np.int64)
                 mean = [s / c if c else None for s, c in zip(sums.tolist(), n.tolist(), strict=True)]
-                ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], np.uint8).astype(bool))
+                ids = pa.array(_unpack(row["doc_ids"], np.int64), mask=_unpack(row["no_id"], np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(mean, pa.float64()), pa.array(off)], names=["doc_id", "n_words", "score", "n_backed_off"])
 
     joined = blocks.join(back, "block", "left").select("doc_ids", "no_id", "lengths", "words", "vocabulary", "totals")

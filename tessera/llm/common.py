@@ -62,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back

@@ -138,11 +138,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words
                 by, bounds = _order(keys, parts)
                 keys, counts = keys[by], counts[by]
                 spans = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-                rows = [[p for p, _, _ in spans], [block] * len(spans), [_pack(keys[a:b]) for _, a, b in spans], [_pack(counts[a:b]) for _, a, b in spans]]
+                rows = [[p for p, _, _ in spans], [block] * len(spans), [_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in spans], [_pack(counts[a:b]) for _, a, b in spans]]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "block", "keys", "counts"])
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_unpack(k, np.uint64) for k in frame["keys"]])
+        keys = np.concatenate([np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in frame["keys"]])
         counts = np.concatenate([_unpack(c, np.uint32) for c in frame["counts"]])
         _, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]

@@ -36,8 +36,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
-    return packing.pack_digests(docs, vocabulary("byte_bpe_50k.json"))
+    """Pieces of the documents with their token ids, in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [

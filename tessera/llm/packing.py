@@ -178,6 +178,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
 
 
 def pack_digests(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:
-    """As pack_documents, with a CRC-32 in the place of the ids, so that ids need not be shuffled."""
-    pieces = token_pieces(docs, tokenizer, window, end_id)
-    return pack_pieces(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), window)
+    """The output of pack_documents with a CRC-32 taken of the packed ids in their place."""
+    packed = pack_documents(docs, tokenizer, window, end_id)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import documents, frame, lower, words
@@ -33,3 +34,19 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_packed_sequences_hold_their_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import op4_packing, vocabulary
+
+    rows = [r for r in documents(n=90) if r[0] is not None]
+    frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer, texts = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), {r[0]: r[1] for r in rows}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for p in pieces:
+        ids = [*tokenizer.encode(texts[p.doc_id], add_special_tokens=False).ids, 0]
+        assert p.ids == np.array(ids[p.start : p.start + p.length], "<u4").tobytes()
+    plan = op4_packing(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("crc32") < plan.index("FlatMapGroupsInPandas")  # the digest is of what was packed

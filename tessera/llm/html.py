@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one per block element. A line's length counts if it can be content:
 lines inside menus, headers, footers, asides, forms, notices, adverts and comments count as empty,
-and so do, on pages with an <article> or <main>, lines outside of it, and on other pages lines that
-are mostly links. Lengths are summed over sliding windows of lines; where the sum surges from
-nothing a stretch of text begins, where it dives back to nothing it ends. Of the stretches, those
-whose peak reaches a threshold are the main text (on pages with an <article> or <main>: all).
+and so do lines that are mostly links. Lengths are summed over sliding windows of lines; where the
+sum surges from nothing a stretch of text begins, where it dives back to nothing it ends. The main
+text is from the first stretch whose peak reaches a threshold to the last one, with the short ones
+that lie between. Where <article> and <main> elements hold at least half of what counts on the page
+their lines weigh more (and links don't count against them), so that short stretches reach the
+threshold too; text outside of them is judged as on any other page.
 
 Works on whole pages, one row at a time in Arrow batches; a few regular expressions do the parsing
 and no state outlives a page.
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, PEAK = 3, 60
+#: What a character in an <article> or <main> counts if these hold the text of the page.
+WEIGHT = 60
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|select|iframe|svg|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -74,13 +78,12 @@ def _dropped(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """(text, length that counts) of each line, and whether the page marks its content."""
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, length that counts) of each line."""
     found: list[tuple[str, int, bool]] = []  # text, characters in links, inside article or main
     text: list[str] = []
     linked = roots = depth = in_link = 0
     skip = ""
-    marked = False
     at = 0
 
     def end_line() -> None:
@@ -124,7 +127,6 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             continue
         if name in ("article", "main"):
             end_line()
-            marked |= not closing
             roots = max(0, roots + (-1 if closing else 1))
         elif name in BLOCKS:
             end_line()
@@ -135,18 +137,20 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     if not skip:
         text.append(page[at:])
     end_line()
-    if marked:
-        return [(t, len(t) if inside else 0) for t, _, inside in found], True
-    return [(t, 0 if 2 * links > len(t) else len(t)) for t, links, _ in found], False
+    plain = [0 if 2 * links > len(t) else len(t) for t, links, _ in found]
+    inner = sum(len(t) for t, _, inside in found if inside)
+    outer = sum(n for n, (*_, inside) in zip(plain, found, strict=True) if not inside)
+    weighs = inner >= outer
+    return [(t, WEIGHT * len(t) if inside and weighs else n) for n, (t, _, inside) in zip(plain, found, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found, marked = lines(page)
+    found = lines(page)
     lengths = [n for _, n in found]
     window = [sum(lengths[max(0, k - 1) : k + WINDOW - 1]) for k in range(len(lengths))]
-    kept: list[str] = []
+    first, last = len(window), 0
     at = 0
     while at < len(window):
         if not window[at]:
@@ -155,9 +159,10 @@ def main_text(page: str | None) -> str:
         surge = at
         while at < len(window) and window[at]:
             at += 1
-        if marked or max(window[surge:at]) >= PEAK:
-            kept += [t for t, n in found[surge:at] if n]
-    if not kept and not marked:  # a page of short lines only
+        if max(window[surge:at]) >= PEAK:
+            first, last = min(first, surge), at
+    kept = [t for t, n in found[first:last] if n]
+    if not kept:  # a page of short lines only
         kept = [t for t, n in found if n]
     return " ".join(kept)
 

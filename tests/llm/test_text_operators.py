@@ -131,6 +131,15 @@ def test_html_main_text():
     assert html.main_text("<p>" + "long " * 50_000).count("long") == 50_000
 
 
+def test_html_articles_weigh_and_do_not_exclude():
+    body = "Words of the body that go on for a while. " * 6
+    cards = "<div class='more-stories'>" + "<article class='card'><a href=x>A card</a></article>" * 3 + "</div>"
+    page = f"<body><div id=content><p>{body}</p><div class=ad>Buy</div><p>Short one.</p><div class=ad>Buy</div><p>{body}</p></div><div class=ad>x</div>{cards}</body>"
+    assert html.main_text(page) == f"{body}Short one. {body}".strip()
+    lead = "A lead that stands in front of the article and is long enough to count as text. "
+    assert html.main_text(f"<p>{lead}</p><article><p>{body}</p><div class=ad>x</div><p>End</p></article>") == f"{lead}{body}End"
+
+
 def test_html_extract_rows(spark):
     rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "v", "", 9)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

@@ -226,6 +226,20 @@ def test_chunks_cover_texts_and_resist_insertions():
     assert max(np.diff([0, *long_word])) <= substring.MAX_BYTES
 
 
+def test_repeats_without_white_space_and_across_it(spark):
+    rng = np.random.default_rng(4)
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    text, other, a, b = han(3000), han(3000), random_text(rng, 15), random_text(rng, 15)
+    rows = [(1, text), (2, "\u4e00\u4e8c" + text), (3, other), (4, han(200) + other[500:900] + han(200)), (5, "ab" * 4), (6, "  " * 4000), (7, " " * 9000)]
+    rows += [(8, a + " " * 3000 + b), (9, random_text(rng, 20) + "\n" + a + " " * 3000 + b)]
+    found = substring.repeated_spans(frame(spark, [(*r, *[None] * 7) for r in rows])).collect()
+    texts = {k: t.encode() for k, t in rows}
+    share = {k: sum(len(texts[k][r.start : r.start + r.length].decode().strip()) for r in found if r.doc_id == k) for k in texts}
+    assert share[2] > 2900 and 300 < share[4] <= 400
+    assert [r.doc_id for r in found if r.doc_id in (8, 9)] == [9] and share[9] > 3000
+    assert {r.doc_id for r in found} == {2, 4, 9}
+
+
 def test_gear_equals_the_rolling_definition():
     data = np.frombuffer(bytes(range(200)), np.uint8)
     h, out = 0, []

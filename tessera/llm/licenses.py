@@ -4,21 +4,30 @@ Texts are normalised (lower case, everything but letters and digits becomes a sp
 to each template unit by unit: every line, every paragraph of several lines, and the whole text.
 Before any bigram is built, size bounds prune: two sets can only reach a Dice coefficient of t if
 the smaller holds at least t / (2 - t) of the larger, so a unit meets only templates of like size,
-and a unit that is like none in size is dropped. All of it is one projection of native functions;
-there is no shuffle, and templates are a literal of fixed size.
+and a unit that is like none in size is dropped. What no unit matched is then searched by windows of
+each template's own length that slide over the words of the whole text, across lines and paragraphs.
+A text is searched only if it holds an anchor, one of a few words of a template without which too few
+of its bigrams are left; windows begin and end at a bigram of the template, and are compared where
+enough of these lie in one. All of it is one projection of native functions; there is no shuffle, and
+templates are a literal of fixed size.
 
 Defined results: one row per unit that reaches the threshold, with its best template (ties: the
-first name); null and empty texts, and tables without rows, give none; repeated rows give their
+first name), and one per window, best first, that overlaps no better one and no such unit (its
+unit_index is the number of its first word in the text without such units); null and empty texts, and tables without rows, give none; repeated rows give their
 rows again; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let
+
 THRESHOLD = 0.8
 #: Notices and short licence texts, by SPDX-like name.
 TEMPLATES = {
@@ -61,6 +70,12 @@ TEMPLATES = {
 }
 
 
+#: Stands in a text for a unit that matched; no template has it.
+_GONE = " \x01 "
+#: Words that are no anchors, as every text has some of them.
+_COMMON = frozenset("a above all an and any are as at be by for from in is it may no not of on or see shall that the this to under use with without you".split())
+
+
 def template_bigrams(text: str) -> list[str]:
     found = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:], strict=False)})
@@ -71,8 +86,68 @@ def _bounds(size, threshold: float) -> tuple[float, float]:
     return size * least, size / least
 
 
+def _needed(size: int, threshold: float) -> int:
+    """Bigrams of a template that a window must hold to reach the threshold, however short it is."""
+    return math.ceil(size * threshold / (2 - threshold) - 1e-9)
+
+
+def anchors(grams: list[str], threshold: float) -> list[str]:
+    """Words of which every window that reaches the threshold holds one at least."""
+    left, chosen = {g: g.split() for g in grams}, []
+    spare = len(grams) - _needed(len(grams), threshold)
+    while len(grams) - len(left) <= spare:
+        uses = Counter(w for pair in left.values() for w in set(pair))
+        word = min(uses, key=lambda w: (w in _COMMON, -uses[w], w))
+        chosen.append(word)
+        left = {g: pair for g, pair in left.items() if word not in pair}
+    return chosen
+
+
+def _windows(norm: Column, templates: dict[str, str], threshold: float) -> Column:
+    """Array of (unit, unit_index, best) of the windows of a normalised text."""
+    entries, every = [], set()
+    for name, text in sorted(templates.items()):
+        grams, length = template_bigrams(text), len(re.findall("[a-z0-9]+", text.lower())) - 1
+        own = anchors(grams, threshold)
+        every.update(own)
+        entries.append(F.struct(
+            F.lit(name).alias("name"), F.lit(len(grams)).alias("size"), F.lit(length).alias("length"), F.lit(_needed(len(grams), threshold)).alias("needed"),
+            F.array(*[F.lit(f" {w} ") for w in own]).alias("anchors"), F.array(*map(F.lit, grams)).alias("grams"),
+        ))
+    table = F.array(*entries)
+
+    def of_template(grams: Column, t: Column) -> Column:
+        at = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+
+        def window(hits: Column, k: Column) -> Column:
+            start = F.get(hits, k)
+            dense = F.get(hits, k + t["needed"] - 1) < start + t["length"]
+            last = lambda: F.array_max(F.filter(F.slice(hits, k + 1, t["length"]), lambda h: h < start + t["length"]))
+            judge = lambda own, end: F.struct((F.size(F.array_intersect(own, t["grams"])) * -2.0 / (F.size(own) + t["size"])).alias("less"), (-t["size"]).alias("smaller"), t["name"].alias("license"), start.alias("start"), end.alias("end"))
+            return F.when(dense, let(last(), lambda end: let(F.array_distinct(F.slice(grams, start + 1, end - start + 1)), lambda own: judge(own, end))))
+
+        return let(at, lambda hits: F.filter(F.transform(hits, lambda _, k: window(hits, k)), lambda w: w["less"] <= -threshold))
+
+    def search(text: Column) -> Column:
+        near = F.filter(table, lambda t: F.exists(t["anchors"], lambda a: text.contains(a)))
+        words = F.filter(F.split(text, " "), lambda w: w != "")
+        pairs = let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+        grams = F.filter(pairs, lambda x: x.isNotNull())
+        found = F.array_sort(let(grams, lambda g: F.flatten(F.transform(near, lambda t: of_template(g, t)))))
+        none = F.filter(found, lambda _: F.lit(False))
+        # A window is of the words start .. end + 1.
+        return F.aggregate(found, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] <= x["end"] + 1) & (x["start"] <= y["end"] + 1)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    padded = F.concat(F.lit(" "), F.regexp_replace(norm, r"[ \n]+", " "), F.lit(" "))
+    gate = F.lit(False)
+    for word in sorted(every):
+        gate = gate | padded.contains(f" {word} ")
+    rows = F.transform(search(padded), lambda w: F.struct(F.lit("window").alias("unit"), w["start"].alias("unit_index"), F.struct(w["less"].alias("less"), w["license"].alias("license")).alias("best")))
+    return F.when(gate, rows)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit (line, paragraph, text), unit_index, license, dice."""
+    """doc_id, unit (line, paragraph, text, window), unit_index, license, dice."""
     known = sorted((name, template_bigrams(text)) for name, text in templates.items())
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("size"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
     sizes = sorted({len(grams) for _, grams in known})
@@ -110,7 +185,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return F.array_min(F.transform(table, score))
 
     norm = docs.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("norm"))
-    parts = norm.select("doc_id", "norm", F.split("norm", "\n").alias("lines"), F.filter(F.split("norm", r"\n(?:[ ]?\n)+"), lambda p: p.contains("\n")).alias("paragraphs"))
+    broken = r"\n(?:[ ]?\n)+"
+    parts = norm.select("doc_id", "norm", F.split("norm", "\n").alias("lines"), F.filter(F.split("norm", broken), lambda p: p.contains("\n")).alias("paragraphs"))
     several = F.when(F.size("lines") > 1, F.array("norm")).otherwise(F.array().cast("array<string>"))
     texts = F.concat(
         F.transform("lines", unit("line")),
@@ -123,5 +199,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     sized = F.filter(cut, lambda u: F.size(u["words"]) >= floor)
     grams = F.filter(F.transform(sized, lambda u: F.struct(u["unit"].alias("unit"), u["unit_index"].alias("unit_index"), bigrams(u["words"]).alias("grams"))), lambda u: like(F.size(u["grams"])))
     judged = F.filter(F.transform(grams, lambda u: F.struct(u["unit"].alias("unit"), u["unit_index"].alias("unit_index"), best(u["grams"]).alias("best"))), lambda u: u["best"].isNotNull())
-    found = parts.select("doc_id", F.explode(judged).alias("u"))
+    units = parts.select("doc_id", "norm", "lines", "paragraphs", judged.alias("judged"))
+
+    def matched(kind: str, texts: str) -> Column:
+        return F.transform(F.filter("judged", lambda u: u["unit"] == kind), lambda u: F.get(F.col(texts), u["unit_index"]))
+
+    def without(text: Column, pattern: str, gone: Column, joiner: str) -> Column:
+        return F.array_join(F.transform(F.split(text, pattern), lambda x: F.when(F.array_contains(gone, x), F.lit(_GONE)).otherwise(x)), joiner)
+
+    rest = without(without(F.col("norm"), broken, matched("paragraph", "paragraphs"), "\n\n"), "\n", matched("line", "lines"), "\n")
+    rest = F.when(F.size("judged") <= 0, F.col("norm")).when(~F.exists("judged", lambda u: u["unit"] == "text"), rest)
+    left = units.select("doc_id", "judged", rest.alias("rest"))
+    both = left.select("doc_id", "judged", _windows(F.col("rest"), templates, threshold).alias("windows"))
+    none = F.filter("judged", lambda _: F.lit(False))
+    found = both.select("doc_id", F.explode(F.concat("judged", F.coalesce("windows", none))).alias("u"))
     return found.select("doc_id", F.col("u.unit").alias("unit"), F.col("u.unit_index").cast("long").alias("unit_index"), F.col("u.best.license").alias("license"), (-F.col("u.best.less")).alias("dice"))

@@ -176,6 +176,17 @@ def test_license_scan_matches_brute_force(spark):
     assert got == expected and len(got) >= 5
 
 
+def test_license_scan_finds_what_is_part_of_a_larger_unit(spark):
+    t, other = licenses.TEMPLATES, " ".join(f"w{k} the" for k in range(100)) + " "
+    mit = t["MIT-text"].replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    texts = [f"{other}\n\n{mit}\n\n{other}", "Some prose before it ends here now. Released under the MIT License.", "This project is licensed under the MIT License. More.", other]
+    texts += [f"{t['MIT']}\nsee {t['CC-BY-NC-4.0']} and so on, as said before", f"{other}{t['GPL-3.0']} {t['Apache-2.0']} {other}"]
+    rows = [(k, x, *[None] * 7) for k, x in enumerate(texts)]
+    got = Counter((r.doc_id, r.unit, r.license) for r in licenses.scan(frame(spark, rows)).collect())
+    expected = [(0, "window", "MIT-text"), (1, "window", "MIT"), (2, "window", "MIT"), (4, "line", "MIT"), (4, "window", "CC-BY-NC-4.0"), (5, "window", "GPL-3.0"), (5, "window", "Apache-2.0")]
+    assert got == Counter(expected)
+
+
 @pytest.mark.parametrize("operator", [licenses.scan, quality.keep_quality])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [])).count() == 0

@@ -5,7 +5,10 @@ at least `similarity`; connected documents form a group of which the smallest do
 
 1. One pass makes the sets (64-bit shingle hashes, in the JVM) and, in Arrow batches, minima under
    HASHES permutations: band keys of ROWS minima each, and the low BITS bits of all minima, packed.
-2. Rows with the same set (128-bit digest) are one class, represented by its smallest doc_id.
+2. Rows with the same number of shingles and the same digest of them (a 64-bit sum and a 64-bit xor of
+   two mixes of each shingle's hash) are one class, represented by its smallest doc_id. Sets of one class
+   are taken to be equal without being compared again; of n different ones a wrong pair is expected in
+   n**2 / 2**129 cases.
 3. Classes that share a band key are candidates. In each band bucket every class first meets the
    bucket's smallest (a star, not all pairs). Candidates whose similarity, estimated from the packed
    bits with random collisions corrected for, is far below the threshold are dropped; the rest are
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, let, materialize, release, small, words
+from tessera.llm.common import KeyBits, ascii_lower, join_counted, let, materialize, release, without, words
 from tessera.llm.graph import connected_components
 
 SIMILARITY_PERCENT = 80
@@ -127,9 +130,10 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, set of the documents whose id is among `ids` (id)."""
+    """doc_id, set of the documents whose id is among `ids` (id), and of a few more by the bitmap's errors."""
     ids = materialize(ids, "near-ids")
-    held = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = KeyBits(ids, "id").mark(held, F.col("doc_id")).filter("_may and doc_id is not null")
     return materialize(held.select("doc_id", shingles(F.col("text"), width).alias("set")).filter(F.size("set") > 0).dropDuplicates(), "near-sets")
 
 
@@ -154,8 +158,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY_P
     packed = classes.select("rep", "n", *[F.col("bits")[k].alias(f"s{k}") for k in range(BITS * _LONGS)])
     banded = classes.select("rep", F.explode("bands").alias("key"))
 
-    centres = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("key", "a")
-    stars = banded.join(centres, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    centres = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.count("*").alias("held")).filter("a < top").select("key", "a", "held")
+    stars = join_counted(banded, centres, ["key"], "held", BANDS * classes.count()).filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
     near = stars.join(packed.alias("x"), F.col("a") == F.col("x.rep")).join(packed.alias("y"), F.col("b") == F.col("y.rep"))
     near = materialize(near.filter(_close("x", "y", percent)).select("a", "b").distinct(), "near-pairs")
     links = _confirm(docs, near, width, percent)
@@ -186,5 +190,5 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY_P
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The documents of which one stays for each group, with all their columns."""
-    gone = materialize(near_groups(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialize(near_groups(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    return without(docs, gone, "doc_id")

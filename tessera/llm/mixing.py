@@ -3,17 +3,18 @@
 Every source's documents are put in a random but fixed order (by MD5 of seed and id). A copy of a
 document finishes at the virtual time (tokens of its source up to and including it) / (target of
 the source); second and third copies follow after the whole source. Copies of all sources are
-then ordered by finish time and taken until the budget, the sum of the targets, is reached.
+then range-sorted by finish time and taken until the budget, the sum of the targets, is reached.
 
 Targets: weight share of all tokens, at most `max_copies` times the source's own tokens; what
 exceeds that goes to the other sources by weight until none is above (water filling in closed
 form over the table of sources).
 
-No source is gathered in one task: running totals come from hash-range buckets of bounded size
-(totals per bucket, then a window inside each bucket), and the global cut from a histogram of
-finish times, of which only the one bucket that holds the cut is ordered. By construction finish
-times are spread evenly over tokens, so these buckets are an even range partitioning. The table
-of sources itself (one row each) is the only thing that passes through a single task.
+All running totals (over sources in name order, over sources by the level at which they are full, over
+documents in their sources' orders, over copies by finish time) are taken by `running`: a global range
+sort, sums inside each range, and sums of the ranges before. So neither the largest source nor the
+table of sources, which may have millions, meets in one task; a source that holds a third of all
+documents gets its target in a broadcast join. The cut, one place in the global order, is compared with
+each copy's own place, and nothing needs to be joined back.
 
 Defined results: rows repeated with the same doc_id, source and size are one unit and share their
 fate; null text has size 0; a null source is a source, last in order; a source without tokens has
@@ -23,42 +24,33 @@ target 0 and nothing taken; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small, word_count
+from tessera.llm.common import join_counted, materialize, packed, running, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
-#: Documents per hash-range bucket of a source, on average.
-BUCKET_ROWS = 2_000
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, n_docs, target; weights repeat over sources in code point order, null last."""
+    """source, source_size, n_docs, ahead (tokens of the sources before it), target; weights repeat over
+    sources in code point order, null last."""
+    by_name = F.col("source").asc_nulls_last()
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    everything = W.partitionBy(F.lit(1))
-    ranked = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
+    named = running(sums, [by_name], {"upto": "source_size"}, "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_at") - 1) % len(weights) + 1).cast("int"))
+    ranked = named.select("source", "source_size", "n_docs", (F.col("upto") - F.col("source_size")).alias("ahead"), weight.alias("weight"))
     ranked = ranked.withColumn("cap", max_copies * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
-    by_level = everything.orderBy("level", F.col("source").asc_nulls_last())
-    steps = ranked.select(
-        "*",
-        F.row_number().over(by_level).alias("at"),
-        F.sum("source_size").over(everything).alias("total"),
-        F.coalesce(F.sum("cap").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("capped"),
-        F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing)).alias("open"),
-    ).withColumn("share", (F.col("total") - F.col("capped")).cast("double") / F.col("open"))
-    fits = F.when(F.col("share") <= F.col("level"), F.struct("at", "share"))
-    return (
-        steps.withColumn("cut", F.min(fits).over(everything))
-        .select("source", "source_size", "n_docs", F.when(F.col("at") < F.col("cut.at"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("cut.share")).alias("target"))
-    )
-
-
-def _entries(units: DataFrame, copies: int) -> DataFrame:
-    each = units.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("finish", _finish(F.col("copy")))
-    return each.filter("finish is not null")
+    steps = materialize(running(ranked, [F.col("level").asc(), by_name], {"capped": "cap", "weighed": "weight"}, "mix-levels"), "mix-steps")
+    total, weighs = steps.agg(F.sum("source_size"), F.sum("weight")).first()
+    # A source's share if it and all that are full later share what the ones before leave.
+    left = F.lit(total) - (F.col("capped") - F.col("cap"))
+    share = left.cast("double") / (F.lit(weighs) - (F.col("weighed") - F.col("weight")))
+    cut = steps.withColumn("share", share).filter("share <= level").agg(F.min(F.struct("_at", "share")).alias("cut")).first()["cut"]
+    at, share = (cut["_at"], cut["share"]) if cut else (None, None)
+    target = F.when(F.lit(at).isNotNull() & (F.col("_at") >= F.lit(at)), F.col("weight") * F.lit(share).cast("double")).otherwise(F.col("cap").cast("double"))
+    return steps.select("source", "source_size", "n_docs", "ahead", target.alias("target"))
 
 
 def _finish(copy):
@@ -72,21 +64,18 @@ def _place(finish, copy):
 def mix_units(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """Per unit (doc_id, source, size): times (rows), source_size, target, copies taken of each row."""
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    n_buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    aims = small(materialize(targets(sized, weights, max_copies), "mix-targets"))
+    total = sized.count()
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
     units = units.withColumn("tokens", F.col("size") * F.col("times")).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    aims = aims.select(F.col("source").alias("t"), "source_size", "target", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("n_buckets"))
-    units = units.join(aims, F.col("source").eqNullSafe(F.col("t"))).drop("t")
-    units = materialize(units.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("n_buckets"), 32)), "mix-units")
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = units.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = units.withColumn("own", F.sum("tokens").over(inside))
-    placed = placed.join(small(materialize(offsets, "mix-offsets")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.withColumn("upto", F.col("before") + F.col("own"))
-    placed = materialize(placed.select("doc_id", "source", "size", "times", "tokens", "key", "upto", "source_size", "target"), "mix-placed")
-    cut = _cut(placed, n_buckets, max_copies)
+    if not total:
+        empty = units.select("doc_id", "source", "size", "times", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"))
+        return empty
+    aims = materialize(targets(sized, weights, max_copies), "mix-targets")
+    queued = running(units, [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("doc_id").asc(), F.col("size").asc()], {"run": "tokens"}, "mix-queues")
+    placed = join_counted(queued, aims, ["source"], "n_docs", total)
+    placed = placed.select("doc_id", "source", "size", "times", "tokens", "key", (F.col("run") - F.col("ahead")).alias("upto"), "source_size", "target")
+    placed = materialize(placed, "mix-placed")
+    cut = _cut(placed, aims, max_copies)
     taken = F.lit(0)
     if cut is not None:
         for copy in range(max_copies):
@@ -95,27 +84,15 @@ def mix_units(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, se
     return placed.select("doc_id", "source", "size", "times", "source_size", "target", taken.cast("int").alias("copies"))
 
 
-def _cut(placed: DataFrame, n_buckets: int, copies: int):
+def _cut(placed: DataFrame, aims: DataFrame, copies: int):
     """The last place in the global order that the budget reaches, as one row; None if nothing fits."""
-    budget = placed.select("source", "target").distinct().agg(F.sum("target")).first()[0]
+    budget = aims.agg(F.sum("target")).first()[0]
     if not budget:
         return None
-    budget = float(round(budget))
-    fine = F.floor(F.col("finish") * (4 * n_buckets))
-    entries = _entries(placed, copies).withColumn("slot", fine)
-    sums = entries.groupBy("slot").agg(F.sum("tokens").alias("sum"))
-    upto = F.sum("sum").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
-    slot = sums.select("slot", "sum", upto.alias("upto")).filter(F.col("upto") > budget).orderBy("slot").first()
-    inside = entries if slot is None else entries.filter(F.col("slot") == slot["slot"])
-    before = 0 if slot is None else slot["upto"] - slot["sum"]
-    if slot is None:  # everything fits
-        return entries.select(F.max(_place(F.col("finish"), F.col("copy"))).alias("p")).first()["p"]
-    place = _place(F.col("finish"), F.col("copy"))
-    run = inside.select(place.alias("p"), F.sum("tokens").over(W.orderBy(place).rowsBetween(W.unboundedPreceding, 0)).alias("run"))
-    last = run.filter(F.col("run") + before <= budget).agg(F.max("p").alias("p")).first()["p"]
-    if last is None:
-        last = entries.filter(F.col("slot") < slot["slot"]).agg(F.max(place).alias("p")).first()["p"]
-    return last
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("finish", _finish(F.col("copy"))).filter("finish is not null")
+    place = ["finish", "key", "doc_id", "source", "size", "copy"]
+    in_order = running(each.select(*place, "tokens"), [F.col(c).asc() for c in place], {"run": "tokens"}, "mix-copies")
+    return in_order.filter(F.col("run") <= float(round(budget))).agg(F.max(F.struct(*place)).alias("p")).first()["p"]
 
 
 def _literal(cut, placed: DataFrame):
@@ -132,6 +109,6 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the documents with all their columns, each as often as it is taken."""
     units = mix_units(docs, **how).filter("copies > 0").select("doc_id", "source", "size", "copies")
-    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), word_count(F.col("text")).alias("n"))
+    each = packed(docs).withColumn("n", word_count(F.col("d.text")))
     same = F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & F.col("d.source").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
     return each.join(units, same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")

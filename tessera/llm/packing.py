@@ -158,18 +158,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """The pieces with sequence_id and offset; all other columns are carried along."""
+    """The pieces with sequence_id and offset, which replace columns of these names; all others are carried along."""
     held = materialize(pieces, "pack-pieces")
     shards = max(1, -(-held.count() // shard_pieces))
-    dealt = held.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    shard = "_shard"
+    while shard in held.columns:
+        shard += "_"
+    dealt = held.withColumn(shard, F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    carried = [c for c in held.columns if c not in ("sequence_id", "offset")]
 
     def pack(frame):
         frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         bins, offsets = best_fit_decreasing(frame["length"].to_numpy(), window)
-        return frame.assign(sequence_id=frame["_shard"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="_shard")
+        return frame[carried].assign(sequence_id=frame[shard].astype("int64") * (1 << 32) + bins, offset=offsets)
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in held.dtypes)
-    return dealt.groupBy("_shard").applyInPandas(pack, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in held.dtypes if c in carried)
+    return dealt.groupBy(shard).applyInPandas(pack, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:

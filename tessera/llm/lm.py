@@ -11,11 +11,14 @@ The score is the mean natural logarithm of S over the words (A-Z lower-cased), p
 exponential. Only n-grams inside one document count.
 
 Plan: documents are cut into blocks of about BLOCK_WORDS words and written once as arrays (a block's
-vocabulary of 64-bit word hashes, word numbers, document bounds). Each block's distinct n-grams and
-their numbers, hashed to 64 bits, go to the partition of the count table that their hash names. There
-the counts of all blocks are added up, and each block gets back the totals of its n-grams in order;
-with them it sums up its documents. An n-gram in every document is one entry a block, so no key is
-hot; what is shuffled grows with the corpus and nothing of it reaches the driver but the word total.
+vocabulary of 64-bit word hashes, word numbers, document bounds). The blocks' n-grams, hashed to 64
+bits, are exploded to rows (gram, block, times), one for each distinct n-gram of a block, and partitioned
+by hash once; from that one exchange the count table is aggregated (gram, count in all, of n-grams that
+more than one block has) and joined to the exploded rows. Their counts go back to the blocks, where the
+documents' scores are summed up. N-grams are exploded by block and not by document because a row for
+each document's n-gram would be several times the input; an n-gram in every document is one row a
+block, so no key is hot. Rows grow in proportion to the corpus; nothing of it reaches the driver but the
+word total.
 
 Defined results: a text without words (null, empty) has n_words 0 and null scores; repeated rows are
 scored each; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +30,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +38,9 @@ from tessera.llm.common import ascii_lower, materialize, words
 
 ALPHA, ORDER = 0.4, 2
 BLOCK_WORDS = 600_000
-#: N-grams of one partition of the count table, on average and before they are merged.
+#: Exploded n-grams of one partition of the count table, on average.
 TABLE_GRAMS = 1_500_000
-_BLOCKS = "block string, doc_ids binary, no_id binary, lengths binary, words binary, vocabulary binary, n_words long"
+_BLOCKS = "block long, doc_ids binary, no_id binary, lengths binary, words binary, vocabulary binary, n_words long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def _block(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.R
             place[by] = np.arange(len(by), dtype=np.uint32)
             own = ids.slice(at, end - at)
             arrays = [own.fill_null(0).to_numpy(), np.asarray(own.is_null()).astype(np.uint8), np.diff(ends[at : end + 1]), place[numbers], vocabulary[by]]
-            row = [uuid.uuid4().hex, *[_pack(a) for a in arrays], len(values)]
+            row = [uuid.uuid4().int >> 65, *[_pack(a) for a in arrays], len(values)]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=names)
             at = end
 
@@ -115,13 +117,6 @@ class Grams:
         return out
 
 
-def _order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys sorted by hash, and the bounds of the table's partitions among them."""
-    by = np.argsort(keys, kind="stable")
-    part = ((keys[by] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return by, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-
-
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words: int = BLOCK_WORDS, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """doc_id, n_words, score, perplexity, n_backed_off of each whole text."""
     hashed = F.transform(words(ascii_lower(F.coalesce(F.col("text"), F.lit("")))), lambda w: F.xxhash64(w))
@@ -129,59 +124,60 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, -(-int(total) * order // table_grams))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, numbers, vocabulary in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 grams = Grams(lengths, numbers, vocabulary, order)
-                keys = np.concatenate(grams.keys)
-                counts = np.concatenate([grams.counts(k) for k in range(order)]).astype(np.uint32)
-                by, bounds = _order(keys, parts)
-                keys, counts = keys[by], counts[by]
-                spans = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-                rows = [[p for p, _, _ in spans], [block] * len(spans), [_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in spans], [_pack(counts[a:b]) for _, a, b in spans]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "block", "keys", "counts"])
-
-    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in frame["keys"]])
-        counts = np.concatenate([_unpack(c, np.uint32) for c in frame["counts"]])
-        _, inverse = np.unique(keys, return_inverse=True)
-        totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
-        bounds = np.cumsum([0, *[len(k) // 8 for k in frame["keys"]]])
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "totals": [_pack(totals[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
-
-    sent = blocks.select("block", "lengths", "words", "vocabulary").mapInArrow(send, "part int, block string, keys binary, counts binary")
-    back = sent.groupBy("part").applyInPandas(add_up, "block string, part int, totals binary")
-    back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("back")).select("block", F.col("back.totals").alias("totals"))
+                keys = np.concatenate(grams.keys).view(np.int64)
+                times = np.concatenate([grams.counts(k) for k in range(order)])
+                by = np.argsort(keys, kind="stable")  # neighbours share their first bytes, which compresses
+                for at in range(0, len(by), 200_000):
+                    part = by[at : at + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(part), block)), pa.array(times[part])], names=["gram", "block", "times"])
+
+    exploded = blocks.select("block", "lengths", "words", "vocabulary").mapInArrow(explode, "gram long, block long, times long").repartition(parts, "gram")
+    # Both sides need the same three columns, so that Spark sends the exploded rows once.
+    table = exploded.groupBy("gram").agg(F.sum("times").alias("total"), F.min("block").alias("first"), F.max("block").alias("last"))
+    table = table.filter("first < last").select("gram", "total")
+    back = exploded.join(table.hint("shuffle_hash"), "gram").select("block", "gram", (F.col("total") - F.col("times")).alias("elsewhere"))
     words_in_all = int(total)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = Grams(row["lengths"], row["words"], row["vocabulary"], order)
-                by, _ = _order(np.concatenate(grams.keys), parts)
-                totals = np.empty(len(by), np.int64)
-                totals[by] = np.concatenate([np.empty(0, np.int64), *[_unpack(t, np.int64) for t in row["totals"] or []]])
-                cuts = np.cumsum([len(k) for k in grams.keys])[:-1]
-                found = []  # by order: occurrences in other documents of the n-gram that ends at each word
-                for k, held in enumerate(np.split(totals, cuts)):
-                    ends = grams.inverse[k]
-                    found.append(np.where(ends >= 0, held[ends] if len(held) else 0, 0) - grams.own(k))
-                rest = np.maximum(words_in_all - np.repeat(grams.lengths, grams.lengths), 1)
-                value = np.where(found[0] > 0, found[0] / rest, alpha / rest)
-                backed = found[0] <= 0
-                for k in range(1, order):
-                    context = np.concatenate([[0], found[k - 1][:-1]])
-                    has = grams.place >= k
-                    seen = has & (found[k] > 0)
-                    value = np.where(seen, found[k] / np.maximum(context, 1), np.where(has, alpha * value, value))
-                    backed = np.where(has, ~seen, backed)
-                n = grams.lengths
-                sums = np.bincount(grams.doc, weights=np.log(value), minlength=len(n))
-                off = np.bincount(grams.doc, weights=backed, minlength=len(n)).astype(np.int64)
-                mean = [s / c if c else None for s, c in zip(sums.tolist(), n.tolist(), strict=True)]
-                ids = pa.array(_unpack(row["doc_ids"], np.int64), mask=_unpack(row["no_id"], np.uint8).astype(bool))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(mean, pa.float64()), pa.array(off)], names=["doc_id", "n_words", "score", "n_backed_off"])
-
-    joined = blocks.join(back, "block", "left").select("doc_ids", "no_id", "lengths", "words", "vocabulary", "totals")
-    scored = joined.mapInArrow(finish, "doc_id long, n_words long, score double, n_backed_off long")
-    return scored.select("doc_id", "n_words", "score", F.exp(-F.col("score")).alias("perplexity"), "n_backed_off")
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        scored = [_scores(row, right, order, alpha, words_in_all) for row in left.to_pylist()]
+        return pa.concat_tables(scored) if scored else _SCORED.empty_table()
+
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, score double, n_backed_off long").select(
+        "doc_id", "n_words", "score", F.exp(-F.col("score")).alias("perplexity"), "n_backed_off"
+    )
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("n_backed_off", pa.int64())])
+
+
+def _scores(row: dict, back: pa.Table, order: int, alpha: float, words_in_all: int) -> pa.Table:
+    """The documents of one block; `back` has, for its n-grams that other blocks have too, how often these do."""
+    grams = Grams(row["lengths"], row["words"], row["vocabulary"], order)
+    keys = np.concatenate(grams.keys).view(np.int64)
+    totals = np.concatenate([grams.counts(k) for k in range(order)])
+    by = np.argsort(keys, kind="stable")
+    if back.num_rows:
+        totals[by[np.searchsorted(keys[by], back.column("gram").to_numpy())]] += back.column("elsewhere").to_numpy()
+    found = []  # by order: occurrences in other documents of the n-gram that ends at each word
+    for k, held in enumerate(np.split(totals, np.cumsum([len(k) for k in grams.keys])[:-1])):
+        ends = grams.inverse[k]
+        found.append(np.where(ends >= 0, held[ends] if len(held) else 0, 0) - grams.own(k))
+    rest = np.maximum(words_in_all - np.repeat(grams.lengths, grams.lengths), 1)
+    value = np.where(found[0] > 0, found[0] / rest, alpha / rest)
+    backed = found[0] <= 0
+    for k in range(1, order):
+        context = np.concatenate([[0], found[k - 1][:-1]])
+        has = grams.place >= k
+        seen = has & (found[k] > 0)
+        value = np.where(seen, found[k] / np.maximum(context, 1), np.where(has, alpha * value, value))
+        backed = np.where(has, ~seen, backed)
+    n = grams.lengths
+    sums = np.bincount(grams.doc, weights=np.log(value), minlength=len(n))
+    off = np.bincount(grams.doc, weights=backed, minlength=len(n)).astype(np.int64)
+    mean = [s / c if c else None for s, c in zip(sums.tolist(), n.tolist(), strict=True)]
+    ids = pa.array(_unpack(row["doc_ids"], np.int64), mask=_unpack(row["no_id"], np.uint8).astype(bool))
+    return pa.Table.from_arrays([ids, pa.array(n), pa.array(mean, pa.float64()), pa.array(off)], schema=_SCORED)

@@ -16,6 +16,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 10_000
 #: A bitmap of keys has at most so many bits (128 MiB): beyond some 60 million keys it lets more rows through, never fewer.
 MAX_BITS = 1 << 30
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def let(value: Column, body) -> Column:
@@ -62,10 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: cuts lineage, survives lost executors."""
+    """Write to the shared folder as Parquet and read back: cuts lineage, survives lost executors.
+
+    Shuffle files of the write are removed when it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back

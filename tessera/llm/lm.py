@@ -28,18 +28,22 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, words
+from tessera.llm.common import ascii_lower, materialize, release, words
 
 ALPHA, ORDER = 0.4, 2
 BLOCK_WORDS = 600_000
 #: Exploded n-grams of one partition of the count table, on average.
 TABLE_GRAMS = 1_500_000
+#: The count table is made in so many parts, one after the other, and the blocks are scored in as many:
+#: the disk that shuffles need falls as this rises.
+PASSES = 3
 _BLOCKS = "block long, doc_ids binary, no_id binary, lengths binary, words binary, vocabulary binary, n_words long"
 
 
@@ -117,38 +121,51 @@ class Grams:
         return out
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words: int = BLOCK_WORDS, table_grams: int = TABLE_GRAMS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words: int = BLOCK_WORDS, table_grams: int = TABLE_GRAMS, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, score, perplexity, n_backed_off of each whole text."""
     hashed = F.transform(words(ascii_lower(F.coalesce(F.col("text"), F.lit("")))), lambda w: F.xxhash64(w))
     blocks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("words")).mapInArrow(lambda batches: _block(batches, block_words), _BLOCKS), "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, -(-int(total) * order // table_grams))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, lengths, numbers, vocabulary in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                grams = Grams(lengths, numbers, vocabulary, order)
-                keys = np.concatenate(grams.keys).view(np.int64)
-                times = np.concatenate([grams.counts(k) for k in range(order)])
-                by = np.argsort(keys, kind="stable")  # neighbours share their first bytes, which compresses
-                for at in range(0, len(by), 200_000):
-                    part = by[at : at + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(part), block)), pa.array(times[part])], names=["gram", "block", "times"])
-
-    exploded = blocks.select("block", "lengths", "words", "vocabulary").mapInArrow(explode, "gram long, block long, times long").repartition(parts, "gram")
-    # Both sides need the same three columns, so that Spark sends the exploded rows once.
-    table = exploded.groupBy("gram").agg(F.sum("times").alias("total"), F.min("block").alias("first"), F.max("block").alias("last"))
-    table = table.filter("first < last").select("gram", "total")
-    back = exploded.join(table.hint("shuffle_hash"), "gram").select("block", "gram", (F.col("total") - F.col("times")).alias("elsewhere"))
-    words_in_all = int(total)
+    spans = blocks.select("block", "lengths", "words", "vocabulary")
+    back = None  # of each block's n-grams that other blocks have too: how often these do
+    for k in range(passes):
+        own = spans.mapInArrow(partial(_explode, order=order, passes=passes, number=k), "gram long, block long, times long")
+        exploded = own.repartition(max(1, parts // passes), "gram")
+        # Both sides need the same three columns, so that Spark sends the exploded rows once.
+        table = exploded.groupBy("gram").agg(F.sum("times").alias("total"), F.min("block").alias("first"), F.max("block").alias("last"))
+        table = table.filter("first < last").select("gram", "total")
+        found = exploded.join(table.hint("shuffle_hash"), "gram").select("block", "gram", (F.col("total") - F.col("times")).alias("elsewhere"))
+        found = materialize(found, "lm-counts")
+        back = found if back is None else back.unionByName(found)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        scored = [_scores(row, right, order, alpha, words_in_all) for row in left.to_pylist()]
+        scored = [_scores(row, right, order, alpha, int(total)) for row in left.to_pylist()]
         return pa.concat_tables(scored) if scored else _SCORED.empty_table()
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, score double, n_backed_off long").select(
-        "doc_id", "n_words", "score", F.exp(-F.col("score")).alias("perplexity"), "n_backed_off"
-    )
+    scored = None
+    for k in range(passes):
+        mine = F.pmod(F.col("block"), F.lit(passes)) == k
+        held = blocks.filter(mine).groupBy("block").cogroup(back.filter(mine).groupBy("block"))
+        part = materialize(held.applyInArrow(finish, "doc_id long, n_words long, score double, n_backed_off long"), "lm-scores")
+        scored = part if scored is None else scored.unionByName(part)
+    release(blocks)
+    return scored.select("doc_id", "n_words", "score", F.exp(-F.col("score")).alias("perplexity"), "n_backed_off")
+
+
+def _explode(batches: Iterator[pa.RecordBatch], order: int, passes: int, number: int) -> Iterator[pa.RecordBatch]:
+    """(gram, block, times) of the blocks' distinct n-grams whose hash falls to this pass."""
+    for batch in batches:
+        for block, lengths, numbers, vocabulary in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            grams = Grams(lengths, numbers, vocabulary, order)
+            keys = np.concatenate(grams.keys)
+            mine = np.flatnonzero((keys >> np.uint64(1)) % np.uint64(passes) == number)
+            times = np.concatenate([grams.counts(k) for k in range(order)])
+            by = mine[np.argsort(keys[mine])]  # neighbours share their first bytes, which compresses
+            for at in range(0, len(by), 200_000):
+                part = by[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(np.full(len(part), block)), pa.array(times[part])], names=["gram", "block", "times"])
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("n_backed_off", pa.int64())])

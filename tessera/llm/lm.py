@@ -10,7 +10,7 @@ occurrences taken out, so that backing off has a meaning on the corpus itself:
 The score is the mean natural logarithm of S over the words (A-Z lower-cased), perplexity its
 exponential. Only n-grams inside one document count.
 
-Plan: documents are cut into blocks of about BLOCK_WORDS words and written once as arrays (a block's
+Plan: words are hashed in numpy from the UTF-8 bytes and documents cut into blocks of about BLOCK_WORDS words and written once as arrays (a block's
 vocabulary of 64-bit word hashes, word numbers, document bounds). The blocks' n-grams, hashed to 64
 bits, are exploded to rows (gram, block, times), one for each distinct n-gram of a block, and partitioned
 by hash once; from that one exchange the count table is aggregated (gram, count in all, of n-grams that
@@ -28,14 +28,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, release, words
+from tessera.llm.common import materialize, release
 
 ALPHA, ORDER = 0.4, 2
 BLOCK_WORDS = 600_000
@@ -43,7 +43,7 @@ BLOCK_WORDS = 600_000
 TABLE_GRAMS = 1_500_000
 #: The count table is made in so many parts, one after the other, and the blocks are scored in as many:
 #: the disk that shuffles need falls as this rises.
-PASSES = 3
+PASSES = 2
 _BLOCKS = "block long, doc_ids binary, no_id binary, lengths binary, words binary, vocabulary binary, n_words long"
 
 
@@ -63,21 +63,82 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in UTF-8 bytes (A-Z lower-cased), and how many lie in each bounds[k] … bounds[k + 1].
+
+    A word's hash is a polynomial in its bytes' random numbers, taken as a difference of running sums, so
+    that all words of a piece of PIECE bytes (more only for a longer word) are hashed together.
+    """
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    at, end = int(bounds[0]), int(bounds[-1])
+    while at < end:
+        stop = min(at + PIECE, end)
+        while stop < end:  # not inside a word
+            gap = np.flatnonzero(_WHITE[data[max(at, stop - 4096) : stop]])
+            if len(gap):
+                stop = max(at, stop - 4096) + int(gap[-1]) + 1
+                break
+            stop = min(stop + 4096, end)
+        part = data[at:stop]
+        inside = ~_WHITE[part]
+        edge = np.zeros(len(part) + 1, bool)  # a word begins here whatever comes before
+        edge[bounds[(bounds >= at) & (bounds <= stop)] - at] = True
+        edge[0] = True
+        before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+        first = np.flatnonzero(inside & (~before | edge[:-1]))
+        last = np.flatnonzero(inside & (~after | edge[1:]))
+        up, down = _powers(len(part))
+        sums = np.append(np.uint64(0), np.cumsum(_RANDOM[part] * up[: len(part)], dtype=np.uint64))
+        hashes.append(_mix((sums[last + 1] - sums[first]) * down[first] + (last + 1 - first).astype(np.uint64)))
+        starts.append(first + at)
+        at = stop
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
+
+
+PIECE = 2_000_000
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_RANDOM = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM[ord("A") : ord("Z") + 1] = _RANDOM[ord("a") : ord("z") + 1]
+_FACTOR = 0x9E3779B97F4A7C15 | 3  # fixed value: odd, its predecessor holds one factor of two
+
+
+@lru_cache(maxsize=1)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        powers = np.full(size, np.uint64(base))
+        powers[0] = 1
+        tables.append(np.multiply.accumulate(powers))
+    return tables[0], tables[1]
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(max(PIECE + 4096, 1 << size.bit_length()))
+
+
 def _block(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _BLOCKS.split(", ")]
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
-        ends = np.asarray(lists.offsets, np.int64)
+        ids, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, ends[at] + block_words, side="right")) - 1)
-            values = np.asarray(lists.values)[ends[at] : ends[end]]
+            # A word and the space after it take two bytes at least: more words than the block may have are cut off below.
+            end = max(at + 1, int(np.searchsorted(places, places[at] + 12 * block_words, side="right")) - 1)
+            end = min(end, batch.num_rows)
+            values, lengths = word_hashes(raw, places[at : end + 1])
+            held = np.cumsum(lengths)
+            if held[-1] > block_words and end > at + 1:
+                end = at + max(1, int(np.searchsorted(held, block_words, side="right")))
+                values, lengths = values[: held[end - at - 1]], lengths[: end - at]
             vocabulary, numbers, counts = np.unique(values, return_inverse=True, return_counts=True)
             by = np.argsort(-counts, kind="stable")  # frequent words get small numbers
             place = np.empty(len(by), np.uint32)
             place[by] = np.arange(len(by), dtype=np.uint32)
             own = ids.slice(at, end - at)
-            arrays = [own.fill_null(0).to_numpy(), np.asarray(own.is_null()).astype(np.uint8), np.diff(ends[at : end + 1]), place[numbers], vocabulary[by]]
+            arrays = [own.fill_null(0).to_numpy(), np.asarray(own.is_null()).astype(np.uint8), lengths, place[numbers], vocabulary[by]]
             row = [uuid.uuid4().int >> 65, *[_pack(a) for a in arrays], len(values)]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=names)
             at = end
@@ -123,8 +184,8 @@ class Grams:
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words: int = BLOCK_WORDS, table_grams: int = TABLE_GRAMS, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, score, perplexity, n_backed_off of each whole text."""
-    hashed = F.transform(words(ascii_lower(F.coalesce(F.col("text"), F.lit("")))), lambda w: F.xxhash64(w))
-    blocks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("words")).mapInArrow(lambda batches: _block(batches, block_words), _BLOCKS), "lm-blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    blocks = materialize(texts.mapInArrow(lambda batches: _block(batches, block_words), _BLOCKS), "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, -(-int(total) * order // table_grams))
 

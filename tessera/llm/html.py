@@ -1,16 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line's length counts if it can be content:
-lines inside menus, headers, footers, asides, forms, notices, adverts and comments count as empty,
-and so do lines that are mostly links. Lengths are summed over sliding windows of lines; where the
-sum surges from nothing a stretch of text begins, where it dives back to nothing it ends. The main
-text is from the first stretch whose peak reaches a threshold to the last one, with the short ones
-that lie between. Where <article> and <main> elements hold at least half of what counts on the page
-their lines weigh more (and links don't count against them), so that short stretches reach the
-threshold too; text outside of them is judged as on any other page.
-
-Works on whole pages, one row at a time in Arrow batches; a few regular expressions do the parsing
-and no state outlives a page.
+A linear scanner reads the markup: attributes are known by their exact names, unquoted values end at
+white space or `>`, and where a tag is never closed the rest of the page is read with tags that end at
+the next bracket. Text is cut into lines, one per block element; elements that hold menus, footers,
+asides, forms, notices, adverts, scripts or reader comments (by element name, role, or whole class and
+id names) leave a gap in their place. A `<header>` outside of the article goes; of one inside it the
+headings stay.
+
+What is kept is decided by the lines' lengths. A line counts what is not in links if it is mostly links,
+else all of it. Lengths are summed over sliding windows of WINDOW lines; where the sum surges from nothing
+a stretch begins, where it dives back to nothing it ends, at lines that count. A stretch is kept if its
+peak reaches a threshold. Lines of the root weigh WEIGHT, so that every stretch of it reaches it, however
+short its paragraphs are; a list of links in it still counts nothing, so that the sums dive there and
+the list goes, while a line of links between paragraphs lies inside their stretch. The root is the
+<article> and <main> elements if they hold at least half of what counts on the page; then stretches outside of
+them need FAR characters in a window. On other pages it is the element with the most text directly in
+it: lines in it, and paragraphs, headings and list items below it, weigh; all others need PEAK.
+
+Works on whole pages, one row at a time in Arrow batches; time is linear in the page's length.
 
 Defined results: null or empty html, or a page without content, gives an empty text; repeated rows
 and null ids pass through; an empty table gives an empty result; other columns are ignored.
@@ -21,149 +28,265 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, PEAK = 3, 60
-#: What a character in an <article> or <main> counts if these hold the text of the page.
+WINDOW, PEAK, FAR = 3, 60, 400
+#: What a character in the root counts.
 WEIGHT = 60
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|select|iframe|svg|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-#: Element names and name parts.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>")
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>?")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+#: Element names.
+RAW = frozenset("script style iframe noembed noframes textarea title".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option caption".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "head header hgroup html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button head".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre dd dt td th figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+DROPPED = frozenset("nav footer aside form menu dialog button select datalist template noscript svg math canvas object audio video head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-PARTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sidebar nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer header masthead cookie cookies consent notice notices alert popup modal overlay comment comments disqus respond replies reply "
-    "share sharing social related newsletter subscribe signup login search promo promotion sponsor sponsored pagination pager toolbar widget".split()
+#: Class and id names; one may be joined by - or _ to other such names, numbers and the words in WITH.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "footer footers header headers masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond replies reply "
+    "share sharing social related newsletter subscribe subscription signup login search promo promotion sponsor sponsored pagination pager toolbar widget widgets form".split()
 )
-#: Elements that hold the page together are never dropped for their names, articles only as comments.
-_KEPT, _COMMENTS = frozenset(("html", "body", "main")), frozenset("comment comments reply replies respond disqus".split())
-_NEGATED = frozenset(("no", "has", "with", "without", "non"))
+WITH = frozenset("site page main top bottom left right container wrapper wrap box list section area block bar links buttons inner outer primary secondary global post posts article articles content form footer header".split())
+_COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+_CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
-def _dropped(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if name in _KEPT or not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for kind, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if kind.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True
-            continue
-        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
-            parts = re.split(r"[-_:]+|(?<=[a-z])(?=\d)", token)
-            if parts[0] in _NEGATED:
-                continue
-            if any(p in (PARTS if name != "article" else _COMMENTS) for p in parts):
-                return True
+class Line(NamedTuple):
+    text: str
+    counts: int
+    marked: bool  # inside <article> or <main>
+    holder: int  # the element that directly holds its block
+    prose: bool
+    above: tuple  # holders that it lies in
+
+
+def _named(value: str, names: frozenset) -> bool:
+    """Whether a class or id list has a name that says what is dropped."""
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        parts = [p for p in re.split(r"[-_:]+", token) if p and not p.isdigit()]
+        if any(p in names for p in parts) and all(p in names or p in NAMES or p in WITH for p in parts):
+            return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, length that counts) of each line."""
-    found: list[tuple[str, int, bool]] = []  # text, characters in links, inside article or main
-    text: list[str] = []
-    linked = roots = depth = in_link = 0
-    skip = ""
-    at = 0
+def _fate(name: str, attributes: str, marked: bool) -> str:
+    """'' for an element that stays, 'gone', or 'header' for one of which headings stay."""
+    if name in DROPPED:
+        return "gone"
+    fate = "" if name != "header" else "header" if marked else "gone"
+    if not attributes or name in ("html", "body", "main"):
+        return fate
+    for match in _ATTRIBUTE.finditer(attributes):
+        key, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none\b", value, re.I)):
+            return "gone"
+        if key == "role" and value.strip().lower() in ROLES:
+            return "gone"
+        # An id on a heading, a paragraph or a list item is an anchor; a heading's class is its looks.
+        if name not in HEADINGS and (key == "class" or (key == "id" and name not in PROSE)):
+            if _named(value, NAMES if name != "article" else _COMMENTS):
+                only_header = _named(value, frozenset(("header", "headers"))) and not _named(value, NAMES - {"header", "headers"})
+                if not (only_header and marked):
+                    return "gone"
+                fate = "header"
+    return fate
+
+
+class _Reader:
+    """The lines of a page, from a stack of its open elements."""
+
+    def __init__(self) -> None:
+        self.lines: list[Line | None] = []  # None is a gap
+        self.open: list[tuple[str, str, int]] = []  # name, fate in force, holder
+        self.count: dict[str, int] = {}
+        self.holders, self.above = 1, {0: ()}
+        self.text: list[str] = []
+        self.linked, self.in_link, self.marks = 0, False, 0
 
-    def end_line() -> None:
-        nonlocal linked
-        if text:
-            line = " ".join(entities.unescape("".join(text)).split())
+    def add(self, text: str) -> None:
+        if not self.open or not self.open[-1][1]:
+            text = entities.unescape(text)
+            self.text.append(text)
+            if self.in_link:
+                self.linked += len(text.strip())
+
+    def end_line(self) -> None:
+        if self.text:
+            line = " ".join("".join(self.text).split())
             if line:
-                found.append((line, linked, roots > 0))
-            text.clear()
-        linked = 0
-
-    for tag in _TAG.finditer(page):
-        if tag.start() > at and not skip:
-            text.append(page[at : tag.start()])
-            if in_link:
-                linked += tag.start() - at
-        at = tag.end()
-        name = tag[3]
-        if name is None:
-            if tag[1] and not skip:
-                text.append(" ")
+                names = [n for n, _, _ in self.open[-2:]]
+                holder = self.open[-1][2] if self.open else 0
+                plain = max(0, len(line) - self.linked)
+                counts = plain if 2 * self.linked > len(line) else len(line)
+                prose = bool(names) and (names[-1] in PROSE or (len(names) > 1 and names[-2] in HEADINGS))
+                self.lines.append(Line(line, counts, self.marks > 0, holder, prose, self.above[holder]))
+            self.text.clear()
+        self.linked = 0
+
+    def gap(self) -> None:
+        if self.lines and self.lines[-1] is not None:
+            self.lines.append(None)
+
+    def pop(self) -> None:
+        name, fate, _ = self.open.pop()
+        self.count[name] -= 1
+        self.marks -= name in ("article", "main")
+        if fate:
+            self.text.clear()
+
+    def pop_to(self, names: tuple | list, until: tuple) -> None:
+        """Close the innermost open element of these names, if no `until` lies inside of it."""
+        if any(self.count.get(n) for n in names):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] in until:
+                    return
+                if self.open[k][0] in names:
+                    self.end_line()
+                    while len(self.open) > k:
+                        self.pop()
+                    return
+
+    def start(self, name: str, attributes: str) -> None:
+        if name == "br":
+            self.add(" ")
+            return
+        if name in VOID:
+            if name == "hr":
+                self.end_line()
+            return
+        block = name in BLOCKS
+        if block:
+            if self.count.get("p"):
+                self.pop_to(("p",), ("td", "th", "table", "button", "object"))
+            if name in _CLOSED_BY:
+                names, until = _CLOSED_BY[name]
+                self.pop_to(names.split(), until)
+        above = self.open[-1][1] if self.open else ""
+        if above == "gone" or (above == "header" and name not in HEADINGS):
+            fate = above
+            if block:
+                self.end_line()
+        else:
+            fate = "" if above == "header" else _fate(name, attributes, self.marks > 0)
+        if block or (fate and not above):
+            self.end_line()
+        if fate and not above:
+            self.gap()
+        if name == "a" and not fate:
+            self.in_link = True
+        if (not block and not fate) or attributes.endswith("/"):
+            return
+        holder = self.open[-1][2] if self.open else 0
+        if block and not fate and name not in PROSE:
+            self.above[self.holders] = (*self.above[holder][-60:], holder)
+            holder, self.holders = self.holders, self.holders + 1
+        self.open.append((name, fate, holder))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.marks += name in ("article", "main")
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.in_link = False
+        if self.count.get(name):
+            self.pop_to((name,), ())
+        elif name in BLOCKS:
+            self.end_line()
+
+
+def read(page: str) -> list[Line | None]:
+    """The lines of a page and the gaps between them."""
+    reader, at, tag, broken = _Reader(), 0, _TAG, False
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            reader.add(page[at:])
+            break
+        if begin > at:
+            reader.add(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
             continue
-        name, closing = name.lower(), tag[2]
-        if skip:
-            if skip == "p" and name in BLOCKS:
-                skip, depth = "", 0
-                if name == "p" and closing:
-                    continue
-            elif name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-                continue
-            else:
-                continue
-        if not closing and name not in VOID and _dropped(name, tag[4]):
-            end_line()
-            found += [("", 0, False)] * WINDOW
-            if not tag[4].endswith("/"):
-                skip, depth = name, 1
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin)
+            at = len(page) if end < 0 else end + 1
             continue
-        if name in ("article", "main"):
-            end_line()
-            roots = max(0, roots + (-1 if closing else 1))
-        elif name in BLOCKS:
-            end_line()
-        elif name == "br":
-            text.append(" ")
-        elif name == "a":
-            in_link = 0 if closing else 1
-    if not skip:
-        text.append(page[at:])
-    end_line()
-    plain = [0 if 2 * links > len(t) else len(t) for t, links, _ in found]
-    inner = sum(len(t) for t, _, inside in found if inside)
-    outer = sum(n for n, (*_, inside) in zip(plain, found, strict=True) if not inside)
-    weighs = inner >= outer
-    return [(t, WEIGHT * len(t) if inside and weighs else n) for n, (t, _, inside) in zip(plain, found, strict=True)]
+        match = tag.match(page, begin)
+        if not match and not broken and re.match(r"</?[a-zA-Z]", page[begin : begin + 3]):
+            tag, broken = _BROKEN, True
+            match = tag.match(page, begin)
+        if not match:  # a bracket that is text
+            reader.add("<")
+            at = begin + 1
+            continue
+        at, name = match.end(), match[2].lower()
+        if match[1]:
+            reader.end(name)
+        elif name in RAW and not match[3].endswith("/"):
+            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(page)
+        else:
+            reader.start(name, match[3])
+    reader.end_line()
+    return reader.lines
+
+
+def weigh(lines: list[Line | None]) -> tuple[list[str], list[int], list[int]]:
+    """Texts, lengths that count, and the peak that a stretch of each line needs. Gaps are empty lines."""
+    real = [x for x in lines if x is not None]
+    inner = sum(x.counts for x in real if x.marked)
+    marked = inner > 0 and 2 * inner >= sum(x.counts for x in real)
+    direct: dict[int, int] = {}
+    for x in real:
+        direct[x.holder] = direct.get(x.holder, 0) + x.counts
+    root = max(direct, key=lambda h: (direct[h], -h), default=-1)
+    texts, lengths, needs, before = [], [], [], None
+    for x in lines:
+        inside = x is not None and (x.marked if marked else x.holder == root or (x.prose and root in x.above))
+        if x is None or (before is not None and before != inside):  # sums don't run over a gap or the root's edge
+            texts += [""] * WINDOW
+            lengths += [0] * WINDOW
+            needs += [0] * WINDOW
+        if x is not None:
+            texts.append(x.text)
+            lengths.append(WEIGHT * x.counts if inside else x.counts)
+            needs.append(FAR if marked and not inside else PEAK)
+        before = None if x is None else inside
+    return texts, lengths, needs
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = lines(page)
-    lengths = [n for _, n in found]
-    window = [sum(lengths[max(0, k - 1) : k + WINDOW - 1]) for k in range(len(lengths))]
-    first, last = len(window), 0
+    texts, lengths, needs = weigh(read(page))
+    half = WINDOW // 2
+    sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
+    kept: list[str] = []
     at = 0
-    while at < len(window):
-        if not window[at]:
+    while at < len(sums):
+        if not sums[at]:
             at += 1
             continue
         surge = at
-        while at < len(window) and window[at]:
+        while at < len(sums) and sums[at]:
             at += 1
-        if max(window[surge:at]) >= PEAK:
-            first, last = min(first, surge), at
-    kept = [t for t, n in found[first:last] if n]
+        counted = [k for k in range(surge, at) if lengths[k]]
+        if max(sums[surge:at]) >= needs[counted[0]]:
+            kept += [t for t in texts[counted[0] : counted[-1] + 1] if t]
     if not kept:  # a page of short lines only
-        kept = [t for t, n in found if n]
+        kept = [t for t, n in zip(texts, lengths, strict=True) if n]
     return " ".join(kept)
 
 

@@ -2,12 +2,12 @@
 
 Texts are normalised (lower case, everything but letters and digits becomes a space) and compared
 to each template unit by unit: every line, every paragraph of several lines, and the whole text.
-Before any bigram is built, size bounds prune: two sets can only reach a Dice coefficient of t if
+Texts that hold no anchor (one of a few words of each template, without which too few of its bigrams are
+left) are dropped first. Before any bigram is built, size bounds prune: two sets can only reach a Dice coefficient of t if
 the smaller holds at least t / (2 - t) of the larger, so a unit meets only templates of like size,
 and a unit that is like none in size is dropped. What no unit matched is then searched by windows of
 each template's own length that slide over the words of the whole text, across lines and paragraphs.
-A text is searched only if it holds an anchor, one of a few words of a template without which too few
-of its bigrams are left; windows begin and end at a bigram of the template, and are compared where
+A template is searched for only if the text holds one of its anchors; windows begin and end at a bigram of the template, and are compared where
 enough of these lie in one. All of it is one projection of native functions; there is no shuffle, and
 templates are a literal of fixed size.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,35 @@ from pyspark.sql import functions as F
 from tessera.llm.common import let
 
 THRESHOLD = 0.8
+#: The parts of the BSD texts and of the GNU notices.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS "
+    "OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(what: str, license_: str, version: str) -> str:
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {license_} as published by the Free Software Foundation, "
+        f"{version} (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {license_} for more details. You should have received a copy of the "
+        f"{license_} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 #: Notices and short licence texts, by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -67,13 +97,53 @@ TEMPLATES = {
         "IN THE SOFTWARE."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-2-Clause-text": _BSD_HEAD + _BSD_TWO + _BSD_TAIL,
+    "BSD-3-Clause-text": _BSD_HEAD + _BSD_TWO + _BSD_THIRD + _BSD_TAIL,
+    "GPL-2.0-header": _gnu("program", "GNU General Public License", "either version 2 of the License, or"),
+    "GPL-3.0-header": _gnu("program", "GNU General Public License", "either version 3 of the License, or"),
+    "AGPL-3.0-header": _gnu("program", "GNU Affero General Public License", "either version 3 of the License, or"),
+    "LGPL-2.1-header": _gnu("library", "GNU Lesser General Public License", "either version 2.1 of the License, or"),
+    "LGPL-3.0-header": _gnu("program", "GNU Lesser General Public License", "either version 3 of the License, or"),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+        "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+        "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+        "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+        "not be removed or altered from any source distribution."
+    ),
 }
 
 
 #: Stands in a text for a unit that matched; no template has it.
 _GONE = " \x01 "
-#: Words that are no anchors, as every text has some of them.
-_COMMON = frozenset("a above all an and any are as at be by for from in is it may no not of on or see shall that the this to under use with without you".split())
+#: Words that are poor anchors, as many texts have them.
+_COMMON = frozenset(
+    "a above all an and any are as at be by for from in is it may no not of on or see shall that the this to under use with without you "
+    "action agreed altered applicable author authors basis binary claim code commercial conditions copy copies details domain even file free general including library must "
+    "other others names name product products program provided purpose rights source version following must form forms list made make obtain person people".split()
+)
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -91,24 +161,49 @@ def _needed(size: int, threshold: float) -> int:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9)
 
 
-def anchors(grams: list[str], threshold: float) -> list[str]:
-    """Words of which every window that reaches the threshold holds one at least."""
+def anchors(grams: list[str], threshold: float, known: frozenset | set = frozenset()) -> list[str]:
+    """Words of which every window or unit that reaches the threshold holds one at least; `known` ones first among equals."""
     left, chosen = {g: g.split() for g in grams}, []
     spare = len(grams) - _needed(len(grams), threshold)
     while len(grams) - len(left) <= spare:
         uses = Counter(w for pair in left.values() for w in set(pair))
-        word = min(uses, key=lambda w: (w in _COMMON, -uses[w], w))
+        word = min(uses, key=lambda w: (w in _COMMON or w.isdigit(), len(w) < 4, w not in known, -uses[w], w))
         chosen.append(word)
         left = {g: pair for g, pair in left.items() if word not in pair}
     return chosen
 
 
+def all_anchors(templates: dict[str, str], threshold: float) -> dict[str, list[str]]:
+    """The anchors of each template; short templates choose first, as they have the least choice."""
+    found: dict[str, list[str]] = {}
+    known: set[str] = set()
+    for name, grams in sorted(((n, template_bigrams(t)) for n, t in templates.items()), key=lambda x: (len(x[1]), x[0])):
+        found[name] = anchors(grams, threshold, known)
+        known.update(found[name])
+    return found
+
+
+def may_match(text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """False for texts that hold no anchor of any template, and so no match: one search for each anchor in the
+    lower-cased text, before anything is normalised or cut. A short anchor must also be a word of its own."""
+    lower, gate = F.lower(text), F.lit(False)
+    for word in sorted({w for own in all_anchors(templates, threshold).values() for w in own}, key=lambda w: (len(w) < 4, w)):
+        held = lower.contains(word)
+        gate = gate | (held if len(word) > 3 else held & lower.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){word}(?:[^\p{{L}}\p{{N}}]|$)"))
+    return gate
+
+
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates from the files of a folder, by file name without .txt: full licence texts of one's own choice."""
+    return {p.name.removesuffix(".txt"): p.read_text(errors="replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 def _windows(norm: Column, templates: dict[str, str], threshold: float) -> Column:
     """Array of (unit, unit_index, best) of the windows of a normalised text."""
-    entries, every = [], set()
+    entries, every, chosen = [], set(), all_anchors(templates, threshold)
     for name, text in sorted(templates.items()):
         grams, length = template_bigrams(text), len(re.findall("[a-z0-9]+", text.lower())) - 1
-        own = anchors(grams, threshold)
+        own = chosen[name]
         every.update(own)
         entries.append(F.struct(
             F.lit(name).alias("name"), F.lit(len(grams)).alias("size"), F.lit(length).alias("length"), F.lit(_needed(len(grams), threshold)).alias("needed"),
@@ -184,6 +279,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
         return F.array_min(F.transform(table, score))
 
+    docs = docs.select("doc_id", "text").filter(may_match(F.col("text"), templates, threshold))
     norm = docs.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("norm"))
     broken = r"\n(?:[ ]?\n)+"
     parts = norm.select("doc_id", "norm", F.split("norm", "\n").alias("lines"), F.filter(F.split("norm", broken), lambda p: p.contains("\n")).alias("paragraphs"))

@@ -88,7 +88,7 @@ u AS (SELECT rid, doc_id, 'line' AS unit, unnest(range(0, len(l))) AS unit_index
   UNION ALL SELECT rid, doc_id, 'paragraph', unnest(range(0, len(p))), unnest(p) FROM (SELECT rid, doc_id, list_filter(regexp_split_to_array(norm, '\n(?:[ ]?\n)+'), lambda x: contains(x, chr(10))) AS p FROM n)
   UNION ALL SELECT rid, doc_id, 'text', 0, norm FROM n WHERE contains(norm, chr(10))),
 w AS (SELECT *, list_filter(regexp_split_to_array(words, '[ \n]+'), lambda x: x <> '') AS ws FROM u),
-g AS (SELECT rid, doc_id, unit, unit_index, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 400),
+g AS (SELECT rid, doc_id, unit, unit_index, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) >= 2),
 t(license, tg) AS (VALUES {_TEMPLATES}),
 s AS (SELECT rid, doc_id, unit, unit_index, license, len(list_intersect(grams, tg)) * 2.0::DOUBLE / (len(grams) + len(tg)) AS dice FROM g, t WHERE len(grams) BETWEEN 0.6 * len(tg) AND 1.6 * len(tg)),
 b AS (SELECT *, row_number() OVER (PARTITION BY rid, unit, unit_index ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {licenses.THRESHOLD})

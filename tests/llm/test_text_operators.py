@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,3 +191,31 @@ def test_license_scan_finds_what_is_part_of_a_larger_unit(spark):
 @pytest.mark.parametrize("operator", [licenses.scan, quality.keep_quality])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [])).count() == 0
+
+
+def test_license_texts_are_found_in_files(spark):
+    t = licenses.TEMPLATES
+    code = "\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(60))
+    commented = "\n".join("# " + x for x in re.findall(r".{1,70}(?:\s|$)", t["GPL-3.0-header"]))
+    texts = [f"Copyright (c) 2020 A. B.\n\n{t[name]}\n" for name in ("BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Unlicense", "Zlib")]
+    texts += [f"{commented}\n\n{code}", f"/* {t['MPL-2.0-header']} */\n{code}", code]
+    rows = [(k, x, *[None] * 7) for k, x in enumerate(texts)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(frame(spark, rows)).collect()}
+    expected = {(0, "BSD-2-Clause-text"), (1, "BSD-3-Clause-text"), (2, "ISC-text"), (3, "Unlicense"), (4, "Zlib"), (5, "GPL-3.0-header"), (6, "MPL-2.0-header")}
+    assert expected <= got and not any(k == 7 for k, _ in got)
+
+
+def test_anchors_are_in_every_match():
+    for name, text in licenses.TEMPLATES.items():
+        grams = licenses.template_bigrams(text)
+        own = set(licenses.all_anchors(licenses.TEMPLATES, licenses.THRESHOLD)[name])
+        left = [g for g in grams if not own & set(g.split())]
+        assert len(left) < licenses._needed(len(grams), licenses.THRESHOLD)
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    long = " ".join(f"clause{k % 97} text{k}" for k in range(3000))
+    (tmp_path / "House-1.0.txt").write_text(long)
+    found = licenses.read_templates(str(tmp_path))
+    rows = [(1, long.replace("clause5 ", "clause6 "), *[None] * 7), (2, "clause1 text1", *[None] * 7)]
+    assert [(r.doc_id, r.license) for r in licenses.scan(frame(spark, rows), found).collect()] == [(1, "House-1.0")]

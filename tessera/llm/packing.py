@@ -15,10 +15,12 @@ id is carried along; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,34 @@ SHARD_PIECES = 8_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+def _rank_encoder(path: str):
+    """The same byte-level BPE for tiktoken, which merges words several times faster; None if the file is of another kind.
+
+    Its ranks are the ids, which is right if merges made the ids in their order.
+    """
+    import tiktoken
+
+    raw = json.loads(Path(path).read_text())
+    model, before = raw["model"], raw.get("pre_tokenizer") or {}
+    plain = not raw.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; others follow from 0x100 on
+    hidden = [x for x in range(256) if x not in shown]
+    byte_of = {chr(x): x for x in shown} | {chr(0x100 + k): x for k, x in enumerate(hidden)}
+    vocabulary, special = model["vocab"], {t["content"] for t in raw.get("added_tokens", [])}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary[x + y] for x, y in pairs]
+    if made != sorted(set(made)):
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+#: Fixed value: the pre-tokens of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, by a `tokenizers` file."""
 
@@ -46,16 +76,16 @@ class Encoder:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        # Texts that hold an added token, or white space within a segment, are left to the library itself.
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._ranked = _rank_encoder(path)
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], segments: list[str], lead: str) -> None:
-        if len(known) > self._limit:
-            known.clear()
-        new = [s for s in dict.fromkeys(segments) if s not in known]
-        plain = [s for s in new if s and not self._WHITE.search(s)] if lead else []
-        for at in range(0, len(plain), 256):
-            self._learn_joined(known, plain[at : at + 256])
+    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+        plain = [s for s in new if s and not self._WHITE.search(s) and not any(t in s for t in self._added)] if lead else []
+        for at in range(0, len(plain), 512):
+            self._learn_joined(known, plain[at : at + 512])
         rest = [s for s in new if s not in known] if plain else new
         for at in range(0, len(rest), 2000):
             part = rest[at : at + 2000]
@@ -64,28 +94,29 @@ class Encoder:
 
     def _learn_joined(self, known: dict[str, bytes], part: list[str]) -> None:
         """Segments without white space in one call: each begins with the only token that starts with a space."""
-        ids = np.asarray(self._tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        text = " " + " ".join(part)
+        found = self._ranked.encode_ordinary(text) if self._ranked else self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.asarray(found, dtype="<u4")
         starts = (4 * np.flatnonzero(self._spaced[ids])).tolist()
         if len(starts) != len(part) or starts[0]:
             return  # a vocabulary of another kind: the caller encodes them one by one
         raw = ids.tobytes()
         known.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in all of them is learnt together."""
+        cut = [self._ALONE.split(t) if self._DOUBLE.search(t) else t.split(" ") for t in texts]
+        for known, new in ((self._first, {s[0] for s in cut}), (self._later, set().union(*[s[1:] for s in cut]))):
+            if len(known) > self._limit:
+                known.clear()
+            new.difference_update(known)
+            if new:
+                self._learn(known, list(new), " " if known is self._later else "")
+        later = self._later.__getitem__
+        return [self._first[s[0]] + b"".join(map(later, s[1:])) for s in cut]
+
     def encode(self, text: str) -> bytes:
-        segments = self._ALONE.split(text) if self._DOUBLE.search(text) else text.split(" ")
-        head, tail = segments[0], segments[1:]
-        if head not in self._first:
-            self._learn(self._first, [head], "")
-        try:
-            return self._first[head] + b"".join(map(self._later.__getitem__, tail))
-        except KeyError:
-            start = self._first[head]
-            self._learn(self._later, tail, " ")
-            try:
-                return start + b"".join(map(self._later.__getitem__, tail))
-            except KeyError:  # the table was emptied: all of this text is learnt now
-                self._learn(self._later, tail, " ")
-                return start + b"".join(map(self._later.__getitem__, tail))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -98,22 +129,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     """doc_id, start, length, doc_tokens, ids (little-endian uint32) of each piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
+        encoder, stop = _encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                rows += [(doc_id, at, min(window, n - at), n, ids[4 * at : 4 * (at + window)]) for at in range(0, n, window)]
-                held += len(ids)
-                if held > 16_000_000:
-                    yield _batch(rows, schema)
-                    rows, held = [], 0
-            if rows:
+            ids, texts, sizes = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+            at = 0
+            while at < len(ids):  # some MB of text at a time
+                end, held = at, 0
+                while end < len(ids) and held < 3_000_000:
+                    held += sizes[end]
+                    end += 1
+                rows = []
+                for doc_id, raw in zip(ids[at:end], encoder.encode_all(texts.slice(at, end - at).to_pylist()), strict=True):
+                    raw += stop
+                    n = len(raw) // 4
+                    rows += [(doc_id, k, min(window, n - k), n, raw[4 * k : 4 * (k + window)]) for k in range(0, n, window)]
                 yield _batch(rows, schema)
+                at = end
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text, F.octet_length(text)).mapInArrow(cut, PIECES)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

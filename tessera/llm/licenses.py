@@ -186,11 +186,16 @@ def all_anchors(templates: dict[str, str], threshold: float) -> dict[str, list[s
 def may_match(text: Column, templates: dict[str, str], threshold: float) -> Column:
     """False for texts that hold no anchor of any template, and so no match: one search for each anchor in the
     lower-cased text, before anything is normalised or cut. A short anchor must also be a word of its own."""
-    lower, gate = F.lower(text), F.lit(False)
-    for word in sorted({w for own in all_anchors(templates, threshold).values() for w in own}, key=lambda w: (len(w) < 4, w)):
-        held = lower.contains(word)
-        gate = gate | (held if len(word) > 3 else held & lower.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){word}(?:[^\p{{L}}\p{{N}}]|$)"))
-    return gate
+    words = sorted({w for own in all_anchors(templates, threshold).values() for w in own}, key=lambda w: (len(w) < 4, w))
+
+    def held(lower: Column) -> Column:
+        gate = F.lit(False)
+        for word in words:
+            found = lower.contains(word)
+            gate = gate | (found if len(word) > 3 else found & lower.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){word}(?:[^\p{{L}}\p{{N}}]|$)"))
+        return gate
+
+    return let(F.lower(text), held)
 
 
 def read_templates(folder: str) -> dict[str, str]:

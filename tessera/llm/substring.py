@@ -12,9 +12,9 @@ space for each of these are left alone, as chance may repeat short phrases. Span
 they are not extended into the partial chunk at either end.
 
 The hash is computed for a whole text at once in numpy: a 32-byte window is the sum of two shifted
-16-byte windows, and so on down. Digests are counted by a partially aggregated group-by, so a passage
-in a third of all documents is one row a task; the join back can split a hot digest; what is grouped
-per document is only that document's repeated chunks.
+16-byte windows, and so on down. The chunks are written once. Digests are counted by a partially aggregated group-by, so a passage
+in a third of all documents is one row a task; the join back broadcasts such hot digests, of which there
+are few by definition; what is grouped per document is only that document's repeated chunks.
 
 Defined results: null and empty texts have no chunks; rows with a null doc_id are left out; repeated
 rows (same doc_id) are one document, whose own position counts once; an empty table gives an empty
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import join_counted, materialize
 
 MIN_BYTES, MAX_BYTES = 16, 1024
 CUT_BITS = 2
@@ -119,11 +119,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans that repeat an earlier document (or place): doc_id, start, length, n_words, n_chunks, first_doc_id, other_doc_ids."""
-    all_chunks = chunks(docs)
+    held = materialize(chunks(docs), "chunks")
     key = ["d1", "d2"]
-    common = all_chunks.groupBy(*key).agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).filter("times > 1").select(*key, "keeper")
+    common = held.groupBy(*key).agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).filter("times > 1")
     common = materialize(common, "chunk-digests")
-    again = all_chunks.join(common, key)
+    again = join_counted(held, common, key, "times", held.count()).drop("times")
     # Within its keeper the first place of a chunk stays; repeated rows of a document are one.
     again = again.repartition("doc_id")
     place = F.row_number().over(W.partitionBy("doc_id", "at").orderBy("start", "d1"))

@@ -38,7 +38,9 @@ RULES = (
     Rule("dup_line_ratio", 0.0, 0.5),
     Rule("words_per_line", 2.0, 1e9, 50),
 )
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French and Spanish. A table's `lang` column, where
+#: it has one, says which texts they are for: the lower bound of stop_ratio holds for these and for null.
+LANGUAGES = ("en", "de", "fr", "es")
 STOP_WORDS = (
     "the of and to in is that it for on with as was be by at this from are or an not have "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als "
@@ -69,8 +71,9 @@ def _repeat_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) < WINDOW, F.lit(0)).otherwise(let(tokens, lambda ws: let(windows(ws), count))).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id with the counts that the rules are made of."""
+def measures(docs: DataFrame, stop_words=STOP_WORDS, languages=LANGUAGES) -> DataFrame:
+    """The rows (d) with the counts that the rules are made of, and whether the stop words cover the language."""
+    covered = F.coalesce(F.col("d.lang").cast("string").isin(list(languages)), F.lit(True)) if "lang" in docs.columns else F.lit(True)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), words(F.col("text")).alias("tokens"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     text = F.coalesce(F.col("d.text"), F.lit(""))
@@ -82,7 +85,8 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("tokens")).alias("n_repeat_words"),
-        F.size(F.filter("tokens", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("tokens", lambda w: F.lower(w).isin(stop_words))).cast("long").alias("n_stop_words"),
+        covered.alias("covered"),
     )
 
 
@@ -101,20 +105,23 @@ def verdict(rules=RULES) -> Column:
     for rule in rules:
         over, under = METRICS[rule.metric]
         ratio = F.coalesce(F.try_divide(F.col(over).cast("double"), F.col(under)), F.lit(0.0))
-        passed = passed & ((F.col("n_words") < rule.from_words) | ratio.between(rule.low, rule.high))
+        low = ratio >= rule.low
+        if over == "n_stop_words":
+            low = low | ~F.col("covered")
+        passed = passed & ((F.col("n_words") < rule.from_words) | (low & (ratio <= rule.high)))
     return passed
 
 
-def _judged(docs: DataFrame, rules) -> DataFrame:
+def _judged(docs: DataFrame, rules, **words_of) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measures(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return measures(docs, **words_of).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def quality(docs: DataFrame, rules=RULES) -> DataFrame:
-    """One row per document with its counts, base_failed and kept."""
-    return _judged(docs, rules).select("d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
+def quality(docs: DataFrame, rules=RULES, **words_of) -> DataFrame:
+    """One row per document with its counts, base_failed and kept. `words_of`: stop_words and languages."""
+    return _judged(docs, rules, **words_of).select("d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
-def keep_quality(docs: DataFrame, rules=RULES) -> DataFrame:
+def keep_quality(docs: DataFrame, rules=RULES, **words_of) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return _judged(docs, rules).filter("kept").select("d.*")
+    return _judged(docs, rules, **words_of).filter("kept").select("d.*")

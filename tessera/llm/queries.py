@@ -75,8 +75,12 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+_LANGUAGES = ", ".join(f"'{x}'" for x in quality.LANGUAGES)
 _RULES = " AND ".join(
-    f"(n_words < {r.from_words} OR coalesce({over}::DOUBLE / nullif({under}, 0), 0) BETWEEN {r.low} AND {r.high})" for r in quality.RULES for over, under in [quality.METRICS[r.metric]]
+    f"(n_words < {r.from_words} OR coalesce({over}::DOUBLE / nullif({under}, 0), 0) BETWEEN {r.low} AND {r.high}"
+    + (f" OR (lang NOT IN ({_LANGUAGES}) AND coalesce({over}::DOUBLE / nullif({under}, 0), 0) <= {r.high}))" if over == "n_stop_words" else ")")
+    for r in quality.RULES
+    for over, under in [quality.METRICS[r.metric]]
 )
 
 _TEMPLATES = ", ".join(f"('{name}', ['" + "', '".join(licenses.template_bigrams(text)) + "'])" for name, text in sorted(licenses.TEMPLATES.items()))
@@ -104,15 +108,15 @@ r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op2_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 win AS (SELECT rid, i, ws[i:i+4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
-m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+m AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-  len(lines)::BIGINT AS n_lines, len(list_filter(ws, lambda w: w IN ({_STOP})))::BIGINT AS n_stop_words
+  len(lines)::BIGINT AS n_lines, len(list_filter(ws, lambda w: lower(w) IN ({_STOP})))::BIGINT AS n_stop_words
   FROM l LEFT JOIN rep USING (rid)),
 f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

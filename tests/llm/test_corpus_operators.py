@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, lm, minhash, mixing, substring
+from tessera.llm import common, exact, lm, minhash, mixing, substring
 from tessera.llm.graph import connected_components
 from tests.llm.helpers import documents, frame, lower, words
 
@@ -247,3 +248,60 @@ def test_gear_equals_the_rolling_definition():
         h = ((h << 1) + int(substring._GEAR[b])) & 0xFFFFFFFF
         out.append(h)
     assert substring.gear(data).tolist() == out
+
+
+def test_repeated_spans_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(500)]
+    make = lambda n: " ".join(rng.choice(vocabulary, n))
+    shared = [make(60) for _ in range(3)] + ["漢字" * 200]
+    texts = [" ".join([make(rng.integers(0, 50)), shared[rng.integers(0, 4)], make(rng.integers(0, 50))]) for _ in range(60)] + [None, "", " \n ", shared[0], shared[0] + "\n" + shared[0]]
+    rows = [(k, t, *[None] * 7) for k, t in enumerate(texts)] + [(None, shared[0], *[None] * 7), (5, texts[5], *[None] * 7)]
+    white = b" \t\n\x0b\x0c\r"
+    pieces = {}  # of each document: start, length, words that begin there, other bytes, digest
+    for k, t in enumerate(texts):
+        raw, at, found = (t or "").encode(), 0, []
+        for end in substring.chunk_ends(np.frombuffer(raw, np.uint8)) if raw else []:
+            solid = [x not in white for x in raw[at:end]]
+            begun = sum(x and (at + i == 0 or raw[at + i - 1] in white) for i, x in enumerate(solid))
+            if any(solid):
+                found.append((at, end - at, begun, sum(solid), raw[at:end].strip(white)))
+            at = end
+        pieces[k] = found
+    first = {}
+    for k in pieces:
+        for i, p in enumerate(pieces[k]):
+            first.setdefault(p[4], (k, i))
+    expected = Counter()
+    for k, own in pieces.items():
+        again = [i for i, p in enumerate(own) if first[p[4]] != (k, i)]
+        for _, run in itertools.groupby(enumerate(again), lambda x: x[1] - x[0]):
+            span = [own[i] for _, i in run]
+            if sum(p[2] for p in span) >= substring.MIN_WORDS or sum(p[3] for p in span) >= substring.WORD_BYTES * substring.MIN_WORDS:
+                expected[k, span[0][0], span[-1][0] + span[-1][1] - span[0][0], sum(p[2] for p in span), len(span)] += 1
+    got = Counter((r.doc_id, r.start, r.length, r.n_words, r.n_chunks) for r in substring.repeated_spans(frame(spark, rows)).collect())
+    assert got == expected and len(got) > 30
+
+
+def test_keys_apart_and_bitmaps_change_no_result(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(3000)] + [(None, -1)] * 40, "key int, v int")
+    table = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    for total in (10, rows.count(), 10**9):  # all keys hot, as counted, none hot
+        for how in ("inner", "left"):
+            got = common.join_counted(rows, table.filter("key is null or key != 2"), ["key"], "n", total, how).collect()
+            assert Counter((r.key, r.v, r.top) for r in got) == Counter((r.key, r.v, r.top) for r in rows.join(table.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k"))).withColumn("top", F.when(F.coalesce(F.col("key") != 2, F.lit(True)), F.col("top"))).collect() if how == "left" or r.key != 2)
+    gone = spark.createDataFrame([(k,) for k in range(0, 3000, 5)], "x long")
+    left = common.without(rows, gone, "v")
+    assert left.columns == rows.columns and sorted(r.v for r in left.collect()) == sorted([k for k in range(3000) if k % 5] + [-1] * 40)
+    assert common.without(rows, gone.limit(0), "v").count() == rows.count()
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(k * 37 % 1000 // 3, k, k % 5) for k in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b long, v long")
+    got = {(r.a, r.b): (r._at, r.s) for r in common.running(df, [F.col("a").desc(), F.col("b").asc()], {"s": "v"}, "t").collect()}
+    total = 0
+    for at, (a, b, v) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1):
+        total += v
+        assert got[a, b] == (at, total)
+    assert common.running(df.limit(0), [F.col("a").asc()], {"s": "v"}, "t").count() == 0

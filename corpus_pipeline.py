@@ -2,6 +2,13 @@
 
 Stages take (spark, docs, sf_dir) and return documents with all their columns, but for the last,
 which returns the packed pieces. Each works on everything that the stage before it kept.
+
+Defined results: null and empty texts fail the quality rules and go there. A null doc_id is an id smaller
+than any other for exact copies, linked with nothing by near_dedup (which keeps such rows), and carried
+along by mix and packing; a null source is a source. Rows repeated with their doc_id and text are one
+document after exact_dedup; ties go to the largest doc_id there and to the smallest in near_dedup. Empty
+tables pass through all stages. Further columns are kept, whatever their names, until packing, which
+returns its own. A stage that is run again gives the same rows.
 """
 
 from __future__ import annotations

@@ -76,7 +76,19 @@ def relative_return(features: DataFrame) -> DataFrame:
     return features.join(mkt, "ts").select("ts", "symbol", (F.col("ret_21d") - F.col("mkt_ret_21d")).alias("rel_ret_21d"))
 
 
-def panel(features: DataFrame) -> DataFrame:
-    """All cross-sectional features of the panel."""
-    keys = ["ts", "symbol"]
-    return ranks_and_scores(features).join(risk_to_market(features), keys, "left").join(relative_return(features), keys, "left")
+def panel(features: DataFrame, window: int = 252, minimum: int = 126) -> DataFrame:
+    """All cross-sectional features beside the given ones, from one reading of the panel: the market (a row
+    a date) is attached by date, ranks and scores are windows by date, betas windows by symbol."""
+    mkt = with_ordinal(market(features)).withColumn("m", F.col("mkt_ret_1d"))
+    dates = W.orderBy("d").rowsBetween(-(window - 1), 0)
+    mkt = mkt.withColumn("m_var", F.when(F.count("m").over(dates) >= minimum, F.var_samp("m").over(dates)))
+    added = {f"cs_rank_{n}": cs_rank(F.col(n)) for n in RANKED} | {f"cs_z_{n}": cs_zscore(F.col(n)) for n in SCORED}
+    held = features.join(mkt, "ts").withColumns(added)
+    frame = W.partitionBy("symbol").orderBy("d").rangeBetween(-(window - 1), 0)
+    x, y = mask_pair(F.col("ret_1d"), F.col("m"))
+    enough = F.count(x).over(frame) >= minimum
+    corr = F.when(enough, td(F.covar_pop(x, y).over(frame), F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame)))
+    own = F.when(F.count("ret_1d").over(frame) >= minimum, F.stddev_samp("ret_1d").over(frame))
+    held = held.withColumns({"beta_252d": td(F.when(enough, F.covar_samp(x, y).over(frame)), F.col("m_var")), "corr_mkt_252d": corr, "_own": own})
+    idio = F.col("_own") * root(1 - F.col("corr_mkt_252d") * F.col("corr_mkt_252d")) * ANNUALIZE
+    return held.withColumns({"idio_vol_252d": idio, "rel_ret_21d": F.col("ret_21d") - F.col("mkt_ret_21d")}).drop("_own", "m", "m_var", "d")

@@ -81,8 +81,9 @@ def performance(curve: DataFrame, threshold: float = 0.0) -> DataFrame:
     return held.select(
         "run_id", "bars", "total_return", "cagr", (F.col("sd") * root).alias("annual_volatility"), (F.col("down") * root).alias("downside_deviation"), "max_drawdown",
         F.coalesce(td(F.col("mean") - threshold, F.col("sd")) * root, F.lit(0.0)).alias("sharpe"), F.coalesce(td((F.col("mean") - threshold) * YEAR, F.col("down") * root), F.lit(0.0)).alias("sortino"),
-        F.coalesce(td(F.col("cagr"), F.abs("max_drawdown")), F.lit(0.0)).alias("calmar"), F.coalesce(td(F.col("n_up"), F.col("n")), F.lit(0.0)).alias("hit_rate"), "avg_win", "avg_loss",
-        F.when(F.col("lost") > 0, F.col("won") / F.nullif(F.col("lost"), F.lit(0.0))).alias("profit_factor"), skew.alias("skew"), kurt.alias("kurtosis"),
+        F.coalesce(td(F.col("cagr"), F.abs("max_drawdown")), F.lit(0.0)).alias("calmar"), F.coalesce(td(F.col("n_up"), F.col("n")), F.lit(0.0)).alias("hit_rate"),
+        F.coalesce("avg_win", F.lit(0.0)).alias("avg_win"), F.coalesce("avg_loss", F.lit(0.0)).alias("avg_loss"),
+        F.when(F.col("lost") > 0, F.col("won") / F.nullif(F.col("lost"), F.lit(0.0))).otherwise(float("inf")).alias("profit_factor"), skew.alias("skew"), kurt.alias("kurtosis"),
     )
 
 
@@ -92,12 +93,12 @@ def alpha_beta(curve: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = a.join(b, "ts").filter("x is not null and y is not null")
     held = both.groupBy("run_id").agg(F.count("*").alias("n"), td(F.covar_samp("x", "y"), F.var_samp("y")).alias("beta"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (td(F.avg(F.col("x") - F.col("y")), F.stddev_samp(F.col("x") - F.col("y"))) * math.sqrt(YEAR)).alias("ir"))
     beta = F.when(F.col("n") >= 3, F.col("beta"))
-    return held.select("run_id", "n", beta.alias("beta"), ((F.col("mx") - beta * F.col("my")) * YEAR).alias("alpha"), F.coalesce("ir", F.lit(0.0)).alias("information_ratio"))
+    return held.select("run_id", "n", beta.alias("beta"), ((F.col("mx") - beta * F.col("my")) * YEAR).alias("alpha"), F.when(F.col("n") >= 3, F.coalesce("ir", F.lit(0.0))).alias("information_ratio"))
 
 
 def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials: int = 1) -> float:
     """Probability that the annual Sharpe ratio exceeds what the best of `trials` would show by luck; kurtosis is excess."""
-    if n < 3:
+    if n < 3 or trials < 1:
         return math.nan
     normal, per_bar = NormalDist(), sharpe / math.sqrt(YEAR)
     luck = 0.0
@@ -105,7 +106,9 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials:
         gamma = 0.5772156649015329  # fixed value: Euler's constant
         luck = ((1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e))) / math.sqrt(n - 1)
     spread = 1 - skew * per_bar + (kurtosis + 2) / 4 * per_bar**2
-    return normal.cdf((per_bar - luck) * math.sqrt(n - 1) / math.sqrt(max(spread, 1e-12)))
+    if spread <= 0:
+        return math.nan
+    return normal.cdf((per_bar - luck) * math.sqrt(n - 1) / math.sqrt(spread))
 
 
 def holding_period(positions: DataFrame, curve: DataFrame) -> DataFrame:
@@ -117,16 +120,52 @@ def holding_period(positions: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def trading_stats(trades: DataFrame, curve: DataFrame) -> DataFrame:
-    """Turnover a year, costs and their share of gross profit. Equity is carried forward onto trade dates."""
+    """Turnover a year, costs and their share of gross profit. Equity is carried forward onto trade dates.
+
+    A run without trades has a row of zeros (and no mean notional).
+    """
     by_day = trades.groupBy("run_id", "ts").agg(F.sum("notional").alias("notional"))
     joined = by_day.join(curve.select("run_id", "ts", "equity"), ["run_id", "ts"], "left").withColumn("equity", F.last("equity", ignorenulls=True).over(by_run()))
     turned = joined.groupBy("run_id").agg(F.sum(F.coalesce(td(F.col("notional"), F.col("equity")), F.lit(0.0))).alias("turned"))
     cost = F.col("commission") + F.col("spread") + F.col("slippage")
     paid = trades.groupBy("run_id").agg(F.count("*").alias("trade_count"), F.avg("notional").alias("avg_trade_notional"), F.sum(cost).alias("total_cost"), *[F.sum(c).alias(c) for c in ("commission", "spread", "slippage")])
     span = curve.groupBy("run_id").agg(F.count("*").alias("n"), (F.max_by("equity", "ts") - F.min_by("equity", "ts")).alias("gain"))
-    return span.join(paid, "run_id").join(turned, "run_id").select(
-        "run_id", "trade_count", (F.col("turned") / (F.col("n") / YEAR)).alias("annual_turnover"), "avg_trade_notional", "total_cost", td(F.col("total_cost"), F.col("gain") + F.col("total_cost")).alias("cost_ratio"), "commission", "spread", "slippage"
-    )
+    whole = span.join(paid, "run_id", "left").join(turned, "run_id", "left")
+    ratio = F.when(F.col("trade_count").isNull(), 0.0).otherwise(td(F.col("total_cost"), F.col("gain") + F.col("total_cost")))
+    return whole.select(
+        "run_id", F.coalesce("trade_count", F.lit(0)).alias("trade_count"), F.coalesce(F.col("turned") / (F.col("n") / YEAR), F.lit(0.0)).alias("annual_turnover"), "avg_trade_notional",
+        F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"), ratio.alias("cost_ratio"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("commission", "spread", "slippage")],
+    )
+
+
+def worst_month(curve: DataFrame) -> DataFrame:
+    return monthly_returns(curve).groupBy("run_id").agg(F.min("ret").alias("worst_month"))
+
+
+def headline(equity: DataFrame, trades: DataFrame | None = None, benchmark: DataFrame | None = None, positions: DataFrame | None = None, trials: int = 1) -> DataFrame:
+    """Every measure of a run in one row; equity may have leverage and net. All tables here have one row a run."""
+    curve = equity.select("run_id", "ts", "equity")
+    none = F.lit(None).cast("double")
+    level = F.nullif(F.col("equity"), F.lit(0.0))
+    exposure = equity.groupBy("run_id").agg(
+        F.min("ts").cast("date").cast("string").alias("start"), F.max("ts").cast("date").cast("string").alias("end"),
+        F.avg(F.when(F.abs("leverage") != float("inf"), F.col("leverage"))).alias("avg_leverage") if "leverage" in equity.columns else F.first(none).alias("avg_leverage"),
+        F.avg(F.col("net") / level).alias("avg_net_exposure") if "net" in equity.columns else F.first(none).alias("avg_net_exposure"),
+    )
+    made = performance(curve)
+    for part in (drawdown_duration(curve), var_cvar(curve), worst_month(curve), exposure):
+        made = made.join(part, "run_id", "left")
+    deflate = F.udf(lambda s, n, g, k: None if None in (s, n, g, k) else (None if math.isnan(x := deflated_sharpe(s, n, g, k, trials)) else x), "double")  # one call a run
+    made = made.withColumn("deflated_sharpe", deflate("sharpe", (F.col("bars") - 1).cast("int"), "skew", "kurtosis")).withColumn("trials", F.lit(trials))
+    if trades is not None:
+        made = made.join(trading_stats(trades, curve), "run_id", "left")
+    if positions is not None:
+        count = positions.groupBy("run_id").agg(F.count("*").alias("held"))
+        made = made.join(holding_period(positions, curve), "run_id", "left").join(count, "run_id", "left")
+        made = made.withColumn("avg_positions", F.coalesce("held", F.lit(0)) / F.greatest("bars", F.lit(1))).drop("held").fillna(0.0, ["avg_holding_days"])
+    if benchmark is not None:
+        made = made.join(alpha_beta(curve, benchmark).drop("n"), "run_id", "left")
+    return made
 
 
 def contribution_by_symbol(positions: DataFrame, top: int = 20) -> DataFrame:

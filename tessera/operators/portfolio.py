@@ -253,19 +253,32 @@ def rebalance_dates(dates: DataFrame, frequency: str = "weekly") -> DataFrame:
 
 
 def no_trade_band(weights: DataFrame, epsilon: float) -> DataFrame:
-    """A name keeps its last weight while the new one differs by less than epsilon; starts from 0."""
+    """A name keeps its last weight while the new one differs by less than epsilon; starts from 0.
+
+    A name without a row on one of the table's dates has weight 0 there: it gets a row on the first such
+    date, and on all of them while the band lets it keep a weight.
+    """
     if epsilon <= 0:
         return weights
+    by_name = W.partitionBy("symbol").orderBy("d")
+    dates = weights.select("ts").distinct().withColumn("d", F.row_number().over(W.orderBy("ts")))  # one row a date
+    held = weights.join(dates, "ts").select("symbol", "d", "weight", F.lead("d").over(by_name).alias("next"))
+    count = dates.agg((F.max("d") + 1).alias("past"))
+    held = held.join(F.broadcast(count), F.lit(True)).withColumn("next", F.coalesce("next", "past"))  # a single number
+    present = held.select("symbol", "d", "weight", F.col("d").alias("until"))
+    absent = held.filter("next > d + 1").select("symbol", (F.col("d") + 1).alias("d"), F.lit(0.0).alias("weight"), (F.col("next") - 1).alias("until"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
+        frame = frame.sort_values("d")
         held, out = 0.0, []
         for w in frame["weight"].fillna(0.0).tolist():
             held = held if abs(w - held) < epsilon else w
             out.append(held)
         return frame.assign(weight=out)
 
-    return weights.groupBy("symbol").applyInPandas(one, weights.schema)
+    banded = present.unionByName(absent).groupBy("symbol").applyInPandas(one, "symbol string, d int, weight double, until int")
+    until = F.when(F.col("weight") != 0, F.col("until")).otherwise(F.col("d"))
+    return banded.select("symbol", "weight", F.explode(F.sequence("d", until)).alias("d")).join(dates, "d").select("ts", "symbol", "weight")
 
 
 def limit_turnover(weights: DataFrame, maximum: float | None, run: str | None = None) -> DataFrame:
@@ -294,13 +307,17 @@ def limit_turnover(weights: DataFrame, maximum: float | None, run: str | None =
 
 
 def drop_unchanged(weights: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Only the dates whose weights differ from those of the date before; the first stays."""
-    own = W.partitionBy("symbol").orderBy("ts")
-    moved = weights.withColumn("_m", F.abs(_w() - F.lag("weight").over(own)))
-    by_date = moved.groupBy("ts").agg(F.sum("_m").alias("m"))
-    first = weights.agg(F.min("ts").alias("first"))
-    dates = by_date.join(F.broadcast(first), F.lit(True)).filter((F.col("m") > tolerance) | (F.col("ts") == F.col("first"))).select("ts")
-    return weights.join(dates, "ts", "left_semi")
+    """Only the dates whose weights differ from those of the date before; the first stays.
+
+    A name without a row has weight 0, so that entries and exits are changes: each weight counts on its
+    own date and, negative, on the next one; what is left of the sums by name is what moved.
+    """
+    dates = weights.select("ts").distinct().withColumn("d", F.row_number().over(W.orderBy("ts")))  # one row a date
+    held = weights.join(dates, "ts")
+    both = held.select("symbol", "d", _w().alias("w")).unionByName(held.select("symbol", (F.col("d") + 1).alias("d"), (-_w()).alias("w")))
+    moved = both.groupBy("d", "symbol").agg(F.sum("w").alias("w")).groupBy("d").agg(F.sum(F.abs("w")).alias("m"))
+    changed = dates.join(moved, "d").filter((F.col("m") > tolerance) | (F.col("d") == 1)).select("ts")
+    return weights.join(changed, "ts", "left_semi")
 
 
 def build_targets(context: DataFrame, constructor: Callable, constraints: Callable | None = None, rebalance: str = "weekly", epsilon: float = 0.0, max_turnover: float | None = None) -> DataFrame:

@@ -258,13 +258,50 @@ def coverage(scores: DataFrame) -> DataFrame:
     return scores.groupBy("ts").agg(F.count("score").alias("coverage"))
 
 
+def by_date_measures(scores: DataFrame, labels: DataFrame, label: str = "fwd_ret_1d", quantiles: int = 10, minimum: int = MIN_NAMES, lags=(1, 5, 21)) -> DataFrame:
+    """One row a date: ic, spread, coverage, turnover and rank autocorrelations, of scores that are ranked once.
+
+    Ranks are windows by date, their lags windows by symbol over date numbers: one join and two
+    partitionings, whatever the number of measures.
+    """
+    x, y = mask_pair(F.col("score"), F.col("y"))
+    ranked = with_ordinal(_paired(scores, labels, label)).withColumns({"rx": pct_rank(F.col("score")), "ry": pct_rank(F.col("y")), "r": pct_rank(x), "y": y})
+    own = W.partitionBy("symbol").orderBy("d")
+    held = ranked.withColumns({f"q{k}": F.max("rx").over(own.rangeBetween(-k, -k)) for k in {1, *lags}})
+    edge = 1.0 / quantiles
+    top, low = F.avg(F.when(F.col("r") > 1 - edge, F.col("y"))), F.avg(F.when(F.col("r") <= edge, F.col("y")))
+
+    def paired(a: str, b: str) -> Column:
+        return F.when(F.count(mask_pair(F.col(a), F.col(b))[0]) >= minimum, safe_corr(F.col(a), F.col(b)))
+
+    return held.groupBy("ts").agg(
+        paired("rx", "ry").alias("ic"), F.when(F.count("r") >= minimum, top - low).alias("spread"), F.count("score").alias("coverage"),
+        F.avg(F.abs(F.col("rx") - F.col("q1"))).alias("turnover"), *[paired("rx", f"q{k}").alias(f"autocorr_{k}") for k in lags],
+    )
+
+
 def ic_summary(scores: DataFrame, labels: DataFrame, label: str = "fwd_ret_1d", quantiles: int = 10, minimum: int = MIN_NAMES, lags=(1, 5, 21)) -> DataFrame:
     """One row: IC mean, deviation, IR, t, hit rate, spread, turnover, coverage and rank autocorrelations."""
     ic, n = F.col("ic"), F.count("ic")
-    held = ic_series(scores, labels, label, minimum).agg(
+    return by_date_measures(scores, labels, label, quantiles, minimum, lags).agg(
         F.avg(ic).alias("ic_mean"), F.stddev_samp(ic).alias("ic_std"), (td(F.avg(ic), F.stddev_samp(ic)) * math.sqrt(252)).alias("ic_ir"),
         (td(F.avg(ic), F.stddev_samp(ic)) * F.sqrt(n)).alias("ic_t"), (F.count_if(ic > 0) / F.greatest(n, F.lit(1))).alias("ic_hit"), n.alias("n_dates"),
+        F.avg("spread").alias("spread_mean"), F.avg("turnover").alias("turnover_mean"), F.avg("coverage").alias("coverage_mean"), *[F.avg(f"autocorr_{k}").alias(f"autocorr_{k}") for k in lags],
     )
-    parts = [quantile_spread(scores, labels, label, quantiles, minimum).agg(F.avg("spread").alias("spread_mean")), turnover(scores).agg(F.avg("turnover").alias("turnover_mean")), coverage(scores).agg(F.avg("coverage").alias("coverage_mean"))]
-    parts += [autocorrelation(scores, k, minimum).agg(F.avg("autocorr").alias(f"autocorr_{k}")) for k in lags]
-    return reduce(lambda a, b: a.join(b, F.lit(True)), parts, held)  # each is one row
+
+
+def report(scores: DataFrame, labels: DataFrame, horizons=("fwd_ret_1d", "fwd_ret_5d", "fwd_ret_21d"), quantiles: int = 10, minimum: int = MIN_NAMES) -> dict[str, DataFrame]:
+    """The whole report of a signal: `summary` (a row a horizon), `by_date` and `buckets` (horizon, bucket, mean return)."""
+    label = lambda df, h: df.select(F.lit(h).alias("horizon"), "*")
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return {
+        "summary": union([label(ic_summary(scores, labels, h, quantiles, minimum), h) for h in horizons]),
+        "by_date": union([label(by_date_measures(scores, labels, h, quantiles, minimum), h) for h in horizons]),
+        "buckets": union([label(quantile_returns(scores, labels, h, quantiles), h) for h in horizons]),
+    }
+
+
+def save_report(made: dict[str, DataFrame], folder: str) -> None:
+    """Each part of a report as Parquet in a folder that driver and executors share."""
+    for name, part in made.items():
+        part.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,10 @@ from tessera.functions import calendar
 from tessera.functions.windows import by_date, with_ordinal
 from tessera.operators import catalog, cleaning, cross_section, evaluate, portfolio, signals, simulate
 from tessera.operators import features as feats
-from tessera.plans import strategy
+from tessera.plans import ingest, strategy
+from tessera.session import scratch
 from tessera.sources import bars as source
+from tessera.sources.connectors import TableConnector
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,7 +66,7 @@ def bars_sql(unit: str, name: str = "bars") -> str:
     return (
         f"{name} AS (SELECT ts, symbol, open, high, low, close, volume, close * (1 - disc) AS adj_close, NULL::DOUBLE AS adj_factor, 0.0::DOUBLE AS dividend, 0.0::DOUBLE AS split_ratio, repaired FROM ("
         "SELECT symbol, ts, arg_min(px, o) AS open, max(px) AS high, min(px) AS low, arg_max(px, o) AS close, sum(l_quantity) AS volume, max(l_discount) AS disc, bool_or(l_returnflag = 'R') AS repaired FROM ("
-        f"SELECT {symbol} AS symbol, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS px, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS o, l_quantity, l_discount, l_returnflag FROM lineitem{join}) GROUP BY symbol, ts))"
+        f"SELECT {symbol} AS symbol, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS px, row(l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity) AS o, l_quantity, l_discount, l_returnflag FROM lineitem{join}) GROUP BY symbol, ts))"
     )
 
 
@@ -609,9 +611,25 @@ def max_weight(spark, sf):
     return rounded(portfolio.max_weight_per_name(base_weights(spark, sf), 0.1).select("ts", "symbol", "weight"))
 
 
-@query("WITH RECURSIVE " + _BASEW + f", r AS (SELECT ts, symbol, w, row_number() OVER ({S}) AS rn FROM w), e AS (SELECT symbol, rn, ts, CASE WHEN abs(w) < 0.03 THEN 0.0::DOUBLE ELSE w END AS k FROM r WHERE rn = 1 UNION ALL SELECT r.symbol, r.rn, r.ts, CASE WHEN abs(r.w - e.k) < 0.03 THEN e.k ELSE r.w END FROM e JOIN r ON r.symbol = e.symbol AND r.rn = e.rn + 1) SELECT ts, symbol, round(k, 6) + 0.0 AS weight FROM e")
+# Sparse weights: of each day's suppliers the three with the most volume, by rank.
+_SPARSE = bars_sql("day") + ", sw AS (SELECT ts, symbol, 0.1::DOUBLE * (4 - rk) AS w FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY volume DESC, symbol) AS rk FROM bars WHERE month(ts) <= 2) WHERE rk <= 3), dt AS (SELECT ts, row_number() OVER (ORDER BY ts) AS d FROM (SELECT DISTINCT ts FROM sw)), sd AS (SELECT symbol, d, w FROM sw JOIN dt USING (ts))"
+
+
+def _sparse(spark, sf):
+    rank = F.row_number().over(by_date().orderBy(F.desc("volume"), "symbol"))
+    top = day(spark, sf).filter(F.month("ts") <= 2).withColumn("rk", rank).filter("rk <= 3")
+    return top.select("ts", "symbol", (F.lit(0.1) * (4 - F.col("rk"))).alias("weight"))
+
+
+@query(
+    "WITH RECURSIVE " + _SPARSE + ", f AS (SELECT symbol, min(d) AS a FROM sd GROUP BY symbol), "
+    "g AS (SELECT f.symbol, dt.d, coalesce(sd.w, 0) AS w, sd.w IS NOT NULL AS here, f.a FROM f JOIN dt ON dt.d >= f.a LEFT JOIN sd ON sd.symbol = f.symbol AND sd.d = dt.d), "
+    "e AS (SELECT symbol, d, here, FALSE AS was, CASE WHEN abs(w) < 0.15 THEN 0.0::DOUBLE ELSE w END AS k FROM g WHERE d = a UNION ALL "
+    "SELECT g.symbol, g.d, g.here, e.here, CASE WHEN abs(g.w - e.k) < 0.15 THEN e.k ELSE g.w END FROM e JOIN g ON g.symbol = e.symbol AND g.d = e.d + 1) "
+    "SELECT ts, symbol, round(k, 6) + 0.0 AS weight FROM e JOIN dt USING (d) WHERE here OR was OR k <> 0"
+)
 def no_trade_band(spark, sf):
-    return rounded(portfolio.no_trade_band(base_weights(spark, sf).select("ts", "symbol", "weight"), 0.03))
+    return rounded(portfolio.no_trade_band(_sparse(spark, sf), 0.15))
 
 
 @query()
@@ -620,10 +638,25 @@ def limit_turnover(spark, sf):
     return rounded(portfolio.limit_turnover(w, 0.3))
 
 
-@query("WITH " + _BASEW + f", m AS (SELECT ts, symbol, trunc(w * 3) AS w FROM w), k AS (SELECT ts, sum(abs(w - pw)) AS moved FROM (SELECT *, lag(w) OVER ({S}) AS pw FROM m) GROUP BY ts) SELECT m.ts, m.symbol, round(m.w, 6) + 0.0 AS weight FROM m JOIN k ON k.ts = m.ts WHERE moved > 1e-12 OR m.ts = (SELECT min(ts) FROM m)")
+_CHANGED = "k AS (SELECT d FROM (SELECT coalesce(a.d, b.d + 1) AS d, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS x FROM sd a FULL JOIN sd b ON a.symbol = b.symbol AND a.d = b.d + 1) GROUP BY d HAVING sum(x) > 1e-12 OR d = 1)"
+
+
+@query("WITH " + _SPARSE.replace("0.1::DOUBLE * (4 - rk)", "0.5::DOUBLE").replace("WHERE rk <= 3", "WHERE rk <= 2").replace("PARTITION BY ts ORDER BY volume DESC, symbol", "PARTITION BY ts ORDER BY length(symbol), symbol") + ", " + _CHANGED + " SELECT ts, symbol, w AS weight FROM sd JOIN dt USING (d) JOIN k USING (d)")
 def drop_unchanged(spark, sf):
-    w = base_weights(spark, sf).select("ts", "symbol", F.when(F.col("weight") >= 0, F.floor(F.col("weight") * 3)).otherwise(F.ceil(F.col("weight") * 3)).cast("double").alias("weight"))
-    return rounded(portfolio.drop_unchanged(w))
+    rank = F.row_number().over(by_date().orderBy(F.length("symbol"), "symbol"))
+    w = day(spark, sf).filter(F.month("ts") <= 2).withColumn("rk", rank).filter("rk <= 2").select("ts", "symbol", F.lit(0.5).alias("weight"))
+    return portfolio.drop_unchanged(w)
+
+
+@query(
+    "WITH " + _SPARSE.replace("0.1::DOUBLE * (4 - rk)", "1.0::DOUBLE / count(*) OVER (PARTITION BY ts)").replace("ORDER BY volume DESC, symbol", "ORDER BY length(symbol), symbol").replace("WHERE rk <= 3", "WHERE rk <= 3")
+    + ", " + _CHANGED + " SELECT bars.ts, bars.symbol, round(coalesce(sd.w, 0), 6) + 0.0 AS weight FROM bars JOIN dt ON dt.ts = bars.ts JOIN k ON k.d = dt.d LEFT JOIN sd ON sd.d = dt.d AND sd.symbol = bars.symbol"
+)
+def build_targets(spark, sf):
+    b = day(spark, sf).filter(F.month("ts") <= 2)
+    rank = F.row_number().over(by_date().orderBy(F.length("symbol"), "symbol"))
+    scored = b.withColumn("score", -rank.cast("double")).select("ts", "symbol", "score")
+    return rounded(portfolio.build_targets(scored, portfolio.get_constructor("top_n_equal_weight", n=3), None, "on_signal_change"))
 
 
 @query("WITH " + P + " SELECT symbol, round(median(advd_20), 6) AS median_advd FROM p GROUP BY symbol ORDER BY 2 DESC, 1 LIMIT 10")
@@ -722,13 +755,26 @@ def buy_and_hold(spark, sf):
     return rounded(simulate.equity(result).select("ts", "equity"), 4)
 
 
-@query("WITH RECURSIVE n AS (SELECT count(DISTINCT date_trunc('day', l_shipdate)) AS n FROM lineitem), f AS (SELECT 0 AS fold, 0 AS s UNION ALL SELECT fold + 1, s + 252 FROM f, n WHERE s + 252 + 756 + 26 < n) SELECT fold::BIGINT AS fold, s::BIGINT AS train_start, (s + 756)::BIGINT AS train_end, (s + 782)::BIGINT AS test_start, least(s + 1034, n)::BIGINT AS test_end FROM f, n WHERE s + 782 < n")
-def walk_forward(spark, sf):
+def _folds(step: int) -> str:
+    return f"WITH RECURSIVE n AS (SELECT count(DISTINCT date_trunc('day', l_shipdate)) AS n FROM lineitem), f AS (SELECT 0 AS fold, 0 AS s UNION ALL SELECT fold + 1, s + {step} FROM f, n WHERE s + 1034 < n AND s + {step} + 782 < n) SELECT fold::BIGINT AS fold, s::BIGINT AS train_start, (s + 756)::BIGINT AS train_end, (s + 782)::BIGINT AS test_start, least(s + 1034, n)::BIGINT AS test_end FROM f, n WHERE s + 782 < n"
+
+
+def _walk(spark, sf, step):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.countDistinct(F.date_trunc("day", "l_shipdate"))).first()[0]
-    rows = [(k, *a, *b) for k, (a, b) in enumerate(strategy.walk_forward(n))]
+    rows = [(k, *a, *b) for k, (a, b) in enumerate(strategy.walk_forward(n, step=step))]
     return spark.createDataFrame(rows, "fold long, train_start long, train_end long, test_start long, test_end long")
 
 
+@query(_folds(252))
+def walk_forward(spark, sf):
+    return _walk(spark, sf, None)
+
+
+@query(_folds(63))
+def walk_forward_overlap(spark, sf):
+    return _walk(spark, sf, 63)
+
+
 # Curves: each brand's weekly close as the equity of a run.
 _CURVE = bars_sql("week") + ", cv AS (SELECT symbol AS run_id, ts, close AS equity FROM bars), rt AS (SELECT *, row_number() OVER w AS bar, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, equity / max(equity) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM cv WINDOW w AS (PARTITION BY run_id ORDER BY ts))"
 
@@ -740,7 +786,7 @@ def curve(spark, sf):
 _PERF = "p AS (SELECT run_id, count(*) AS bars, arg_min(equity, ts) AS a, arg_max(equity, ts) AS z, avg(ret) AS m, stddev_samp(ret) AS sd, sqrt(avg(least(ret, 0) * least(ret, 0)) FILTER (WHERE ret IS NOT NULL)) AS dn, min(dd) AS mdd, count(*) FILTER (WHERE ret > 0) / count(ret) AS hit, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END), 0) AS pf, skewness(ret) AS sk, kurtosis(ret) AS ku, avg(ret) FILTER (WHERE ret > 0) AS aw, avg(ret) FILTER (WHERE ret < 0) AS al FROM rt GROUP BY run_id)"
 
 
-@query("WITH " + _CURVE + ", " + _PERF + f", p2 AS (SELECT *, power(z / a, 252.0::DOUBLE / (bars - 1)) - 1 AS cagr FROM p) SELECT run_id, bars, round(z / a - 1, 6) AS total_return, round(cagr, 6) + 0.0 AS cagr, round(sd * {A}, 6) AS annual_volatility, round(dn * {A}, 6) AS downside_deviation, round(mdd, 6) AS max_drawdown, round(m / sd * {A}, 6) AS sharpe, round(m * 252 / (dn * {A}), 6) AS sortino, round(cagr / abs(mdd), 6) + 0.0 AS calmar, round(hit, 6) AS hit_rate, round(aw, 6) AS avg_win, round(al, 6) AS avg_loss, round(pf, 6) AS profit_factor, round(sk, 6) AS skew, round(ku, 6) AS kurtosis FROM p2")
+@query("WITH " + _CURVE + ", " + _PERF + f", p2 AS (SELECT *, power(z / a, 252.0::DOUBLE / (bars - 1)) - 1 AS cagr FROM p) SELECT run_id, bars, round(z / a - 1, 6) AS total_return, round(cagr, 6) + 0.0 AS cagr, round(sd * {A}, 6) AS annual_volatility, round(dn * {A}, 6) AS downside_deviation, round(mdd, 6) AS max_drawdown, round(m / sd * {A}, 6) AS sharpe, round(m * 252 / (dn * {A}), 6) AS sortino, round(cagr / abs(mdd), 6) + 0.0 AS calmar, round(hit, 6) AS hit_rate, round(coalesce(aw, 0), 6) AS avg_win, round(coalesce(al, 0), 6) AS avg_loss, round(coalesce(pf, 'inf'::DOUBLE), 6) AS profit_factor, round(sk, 6) AS skew, round(ku, 6) AS kurtosis FROM p2")
 def perf_summary(spark, sf):
     return rounded(evaluate.performance(curve(spark, sf)))
 
@@ -767,13 +813,13 @@ def alpha_beta(spark, sf):
     return rounded(evaluate.alpha_beta(c, c.join(F.broadcast(first), "run_id", "left_semi")))
 
 
-_POS = "pz AS (SELECT 'r' AS run_id, ts, symbol FROM bars WHERE mod(volume::BIGINT, 3) > 0), bn AS (SELECT ts, row_number() OVER (ORDER BY ts) AS bar FROM (SELECT DISTINCT ts FROM bars))"
+_POS = "pz AS (SELECT 'r' AS run_id, ts, symbol FROM bars), bn AS (SELECT ts, row_number() OVER (ORDER BY ts) AS bar FROM (SELECT DISTINCT ts FROM bars))"
 
 
 def _held(spark, sf):
     b = week(spark, sf)
     c = b.select("ts").distinct().select(F.lit("r").alias("run_id"), "ts", F.lit(1.0).alias("equity"))
-    return b.filter(F.col("volume").cast("long") % 3 > 0).select(F.lit("r").alias("run_id"), "ts", "symbol", (F.col("close") / 1e4).alias("weight")), c
+    return b.select(F.lit("r").alias("run_id"), "ts", "symbol", (F.col("close") / 1e4).alias("weight")), c
 
 
 @query("WITH " + bars_sql("week") + ", " + _POS + ", k AS (SELECT run_id, symbol, bar, lag(bar) OVER (PARTITION BY symbol ORDER BY bar) AS p FROM pz JOIN bn USING (ts)) SELECT run_id, round(count(*) / count(*) FILTER (WHERE p IS NULL OR bar - p <> 1), 6) AS avg_holding_days FROM k GROUP BY run_id")
@@ -781,15 +827,15 @@ def holding_period(spark, sf):
     return rounded(evaluate.holding_period(*_held(spark, sf)))
 
 
-@query("WITH " + bars_sql("week") + ", k AS (SELECT symbol, avg(close / 10000) AS mean_weight, count(*) AS days_held FROM bars WHERE mod(volume::BIGINT, 3) > 0 GROUP BY symbol) SELECT 'r' AS run_id, symbol, round(mean_weight, 6) AS mean_weight, days_held FROM k ORDER BY days_held DESC, symbol LIMIT 20")
+@query("WITH " + bars_sql("week") + ", k AS (SELECT symbol, avg(close / 10000) AS mean_weight, count(*) AS days_held FROM bars GROUP BY symbol) SELECT 'r' AS run_id, symbol, round(mean_weight, 6) AS mean_weight, days_held FROM k ORDER BY days_held DESC, symbol LIMIT 20")
 def contribution_by_symbol(spark, sf):
     return rounded(evaluate.contribution_by_symbol(_held(spark, sf)[0]))
 
 
-@query("WITH " + bars_sql("week") + ", t AS (SELECT ts, close * 2 AS notional, close * 0.001::DOUBLE AS c1, close * 0.002::DOUBLE AS c2, close * 0.003::DOUBLE AS c3 FROM bars WHERE mod(volume::BIGINT, 5) = 0), e AS (SELECT ts, 100000 + sum(close) AS eq FROM bars GROUP BY ts), d AS (SELECT t.ts, sum(notional) / any_value(eq) AS turned FROM t JOIN e USING (ts) GROUP BY t.ts) SELECT 'r' AS run_id, count(*) AS trade_count, round((SELECT sum(turned) FROM d) / ((SELECT count(*) FROM e) / 252.0::DOUBLE), 6) AS annual_turnover, round(avg(notional), 6) AS avg_trade_notional, round(sum(c1 + c2 + c3), 4) AS total_cost, round(sum(c1), 4) AS commission, round(sum(c2), 4) AS spread, round(sum(c3), 4) AS slippage FROM t")
+@query("WITH " + bars_sql("week") + ", t AS (SELECT ts, close * 2 AS notional, close * 0.001::DOUBLE AS c1, close * 0.002::DOUBLE AS c2, close * 0.003::DOUBLE AS c3 FROM bars), e AS (SELECT ts, 100000 + sum(close) AS eq FROM bars GROUP BY ts), d AS (SELECT t.ts, sum(notional) / any_value(eq) AS turned FROM t JOIN e USING (ts) GROUP BY t.ts) SELECT 'r' AS run_id, count(*) AS trade_count, round((SELECT sum(turned) FROM d) / ((SELECT count(*) FROM e) / 252.0::DOUBLE), 6) AS annual_turnover, round(avg(notional), 6) AS avg_trade_notional, round(sum(c1 + c2 + c3), 4) AS total_cost, round(sum(c1), 4) AS commission, round(sum(c2), 4) AS spread, round(sum(c3), 4) AS slippage FROM t")
 def trading_stats(spark, sf):
     b = week(spark, sf)
-    t = b.filter(F.col("volume").cast("long") % 5 == 0).select(F.lit("r").alias("run_id"), "ts", (F.col("close") * 2).alias("notional"), *[(F.col("close") * x).alias(n) for n, x in (("commission", 0.001), ("spread", 0.002), ("slippage", 0.003))])
+    t = b.select(F.lit("r").alias("run_id"), "ts", (F.col("close") * 2).alias("notional"), *[(F.col("close") * x).alias(n) for n, x in (("commission", 0.001), ("spread", 0.002), ("slippage", 0.003))])
     e = b.groupBy("ts").agg((100000 + F.sum("close")).alias("equity")).withColumn("run_id", F.lit("r"))
     got = evaluate.trading_stats(t, e)
     return got.select("run_id", "trade_count", F.round("annual_turnover", 6).alias("annual_turnover"), F.round("avg_trade_notional", 6).alias("avg_trade_notional"), *[F.round(c, 4).alias(c) for c in ("total_cost", "commission", "spread", "slippage")])
@@ -813,6 +859,59 @@ def latest_rank(spark, sf):
     return rounded(f.groupBy("symbol").agg(F.max("ts").alias("last_ts"), F.max_by("ret_1d", "ts").alias("last_ret"), F.max_by("r", "ts").cast("long").alias("last_rank")))
 
 
+@query(f"SELECT * FROM ({SQL['cs_rank']}) JOIN ({SQL['beta_corr_idio']}) USING (ts, symbol)")
+def cs_panel(spark, sf):
+    made = cross_section.panel(feats.features(week(spark, sf), ["ret_1d", "ret_21d", "mom_12_1", "vol_20d", "advd_20", "rsi_14"]))
+    columns = [c for name in ("cs_rank", "beta_corr_idio") for c in QUERIES[name](spark, sf).columns if c not in ("ts", "symbol")]
+    return rounded(made.select("ts", "symbol", *columns))
+
+
+# --- ingest ---------------------------------------------------------------------------------------
+
+
+def _raw(spark, sf):
+    b = week(spark, sf)
+    return b.select(F.col("ts").alias("Date"), F.lower("symbol").alias("Ticker"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")], F.col("adj_close").alias("Adj Close"))
+
+
+_COVER = "SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS row_count FROM bars GROUP BY symbol"
+
+
+def _ingested(spark, sf, runs):
+    """The lake after ingests with (mode, end, symbols); the last report."""
+    root, done = scratch(spark, "lake"), None
+    names = week(spark, sf).select(F.upper("symbol").alias("symbol")).distinct()
+    for mode, end, extra in runs:
+        asked = names.unionByName(spark.createDataFrame([(x,) for x in extra], "symbol string"))
+        done = ingest.ingest(spark, root, TableConnector(_raw(spark, sf)), asked, mode=mode, end=end, now=datetime(2024, 1, 2))
+    return root, done
+
+
+@query("WITH " + bars_sql("week") + " " + _COVER.replace("symbol,", "upper(symbol) AS symbol,", 1))
+def ingest_full(spark, sf):
+    root, _ = _ingested(spark, sf, [("full", None, [])])
+    return catalog.coverage(source.read_bars(spark, root, source.Partition()))
+
+
+@query("WITH " + bars_sql("week") + ", u AS (SELECT upper(symbol) AS symbol, ts FROM bars) SELECT symbol, 'ok' AS status, count(*) AS row_count, count(*) FILTER (WHERE ts > '1998-01-01') AS rows_added FROM u GROUP BY symbol")
+def ingest_incremental(spark, sf):
+    _, done = _ingested(spark, sf, [("auto", datetime(1998, 1, 1), []), ("incremental", None, [])])
+    return done.results.select("symbol", "status", "row_count", "rows_added")
+
+
+@query("WITH " + bars_sql("week") + ", u AS (SELECT upper(symbol) AS symbol, ts FROM bars) SELECT symbol, 'ok' AS status, NULL AS message, max(ts) AS last_ts, count(*) AS row_count FROM u GROUP BY symbol UNION ALL SELECT 'NO SUCH', 'error', 'no data', NULL, 0")
+def ingest_failure(spark, sf):
+    root, _ = _ingested(spark, sf, [("auto", None, ["NO SUCH"]), ("auto", None, ["NO SUCH"])])
+    return ingest.read_state(spark, root).select("symbol", "status", "message", "last_ts", "row_count")
+
+
+@query("WITH " + bars_sql("week") + " SELECT upper(symbol) AS symbol, 'us' AS region, '1d' AS interval, 'table' AS provider, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS row_count FROM bars GROUP BY symbol")
+def refresh_state(spark, sf):
+    root = scratch(spark, "lake")
+    source.write_bars(cleaning.clean_bars(cleaning.normalize_bars(_raw(spark, sf))), root, source.Partition())
+    return ingest.refresh_state(spark, root, "table").select("symbol", "region", "interval", "provider", "first_ts", "last_ts", "row_count")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly panel: features, market-relative return and cross-sectional rank."""
     f = feats.features(source.derive_bars(spark, sf, "month"), ["close", "ret_1d", "ret_5d", "vol_20d", "zscore_20"])

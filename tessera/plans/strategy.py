@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import portfolio, signals, simulate
+from tessera.operators import evaluate, portfolio, signals, simulate
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,9 @@ class Universe:
     as_of: str | None = None
 
 
+ENGINES = ("vectorised", "event")
+
+
 @dataclass(frozen=True)
 class Spec:
     name: str
@@ -52,6 +55,13 @@ class Spec:
     risk: dict = field(default_factory=dict)
     start: str | None = None
     end: str | None = None
+    #: Both names run the one kernel; unfilled orders and risk rules are settings of it.
+    engine: str = "vectorised"
+    seed: int = 0
+
+    def __post_init__(self) -> None:
+        if self.engine not in ENGINES:
+            raise ValueError(f"unknown engine {self.engine!r}; there are {ENGINES}")
 
     @classmethod
     def from_dict(cls, raw: dict) -> Spec:
@@ -90,6 +100,17 @@ class Spec:
         return replace(self, **{section: {**getattr(self, section), **values}}) if section else replace(self, **values)
 
 
+def library_names() -> list[str]:
+    """The bundled strategies."""
+    return sorted(p.stem for p in (Path(__file__).parent / "library").glob("*.toml"))
+
+
+def library_spec(name: str) -> Spec:
+    if name not in library_names():
+        raise ValueError(f"unknown strategy {name!r}; there are {library_names()}")
+    return Spec.from_toml(str(Path(__file__).parent / "library" / f"{name}.toml"))
+
+
 def make_run_id(spec_hash: str, now: datetime | None = None) -> str:
     return f"{(now or datetime.now(UTC)):%Y%m%dT%H%M%S}-{spec_hash[:8]}"
 
@@ -120,6 +141,9 @@ def targets(spec: Spec, panel: DataFrame, groups: DataFrame | None = None) -> Da
     """Target weights of one strategy on its rebalance dates."""
     panel = universe_panel(spec, panel)
     held = panel.select("ts", "symbol", F.col("vol_20d").alias("volatility"), *([F.col("beta_252d").alias("beta")] if "beta_252d" in panel.columns else []), *([F.col("ret_1d")] if "ret_1d" in panel.columns else []))
+    lacking = [name for name, column, have in (("max_beta", "beta_252d", panel.columns), ("max_group_weight", "groups", ["groups"] if groups is not None else [])) if name in spec.constraints and column not in have]
+    if lacking:
+        raise ValueError(f"no data for the constraints {lacking}: the panel needs beta_252d, or groups must be given")
     context = scores(spec, panel, groups).join(held, ["ts", "symbol"])
     if groups is not None:
         context = context.join(groups, "symbol", "left")
@@ -186,6 +210,8 @@ def walk_forward(n_dates: int, train: int = 756, test: int = 252, step: int | No
     folds, start = [], 0
     while (begin := start + train + purge + embargo) < n_dates:
         folds.append(((0 if anchored else start, start + train), (begin, min(begin + test, n_dates))))
+        if begin + test >= n_dates:  # this test reaches the last date
+            break
         start += step or test
     return folds
 
@@ -221,6 +247,9 @@ def save_run(result: DataFrame, root: str, spec: Spec, run_id: str) -> None:
     base = f"{root}/{spec.name}/{run_id}"
     for name, part in (("equity", simulate.equity), ("positions", simulate.positions), ("trades", simulate.trades)):
         part(result).write.mode("overwrite").parquet(f"{base}/{name}.parquet")
+    kept = load_run(result.sparkSession, base)
+    rows = evaluate.headline(kept["equity"], kept["trades"], positions=kept["positions"]).limit(1).collect()  # one run
+    write_json(f"{base}/metrics.json", {k: v for k, v in rows[0].asDict().items() if k != "run_id"} if rows else {})
     write_json(f"{base}/spec.json", asdict(spec) | {"spec_hash": spec.spec_hash, "provenance": provenance()})
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,13 @@ def get_session(app: str = "tessera", master: str | None = None, **conf) -> Spar
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir() + "/tessera-scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.operators.cleaning import clean_bars, normalize_bars
-from tessera.schemas import BAR, Partition
+from tessera.schemas import BAR, PARTITION_COLUMNS, Partition
 
 
 def derive_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """Bars from line items: brand by week or month (dense), supplier by day (sparse).
 
-    Open and close are the first and last price by a total order over the line items, so that they
-    don't depend on how rows are read; the aggregation is partial on the map side.
+    Open and close are the first and last price by ship date, order, line and price, so that they don't
+    depend on how rows are read. The order is one decimal (7 digits of seconds within the bar, 12 of the
+    order, 1 of the line, 18 of the price), which a hash aggregation can hold where it can't hold a struct:
+    nothing is sorted, and the aggregation is partial on the map side.
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     if unit == "day":
@@ -22,12 +25,15 @@ def derive_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFra
         part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("symbol"))
         keyed = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    place = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", px.alias("px"))
+    within = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) - F.unix_seconds(F.date_trunc(unit, "l_shipdate").cast("timestamp"))
+    line = within.cast("decimal(20,0)") * F.expr("10000000000000BD") + (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
+    place = (line.cast("decimal(20,0)") * F.expr("1000000000000000000BD")).cast("decimal(38,0)") + (px.cast("decimal(30,12)") * F.expr("1000000000000BD")).cast("decimal(18,0)")
+    place = place.cast("decimal(38,0)")
     made = keyed.groupBy("symbol", F.date_trunc(unit, "l_shipdate").alias("ts")).agg(
-        F.min(place)["px"].alias("open"),
+        F.min_by(px, place).alias("open"),
         F.max(px).alias("high"),
         F.min(px).alias("low"),
-        F.max(place)["px"].alias("close"),
+        F.max_by(px, place).alias("close"),
         F.sum("l_quantity").alias("volume"),
         F.max("l_discount").alias("discount"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("r"),
@@ -51,8 +57,13 @@ def write_bars(bars: DataFrame, root: str, partition: Partition, mode: str = "ov
 
 
 def read_lake(spark: SparkSession, root: str) -> DataFrame:
-    """All partitions; columns that were added later read as NULL in older files."""
-    return spark.read.option("mergeSchema", "true").parquet(_root(root))
+    """All partitions, by a fixed schema: no file is opened to find it, and columns that older files lack are NULL.
+    A lake that isn't there yet has no rows."""
+    schema = StructType([*BAR, *[StructField(c, StringType()) for c in PARTITION_COLUMNS]])
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(root))
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_root(root))
 
 
 def read_bars(spark: SparkSession, root: str, partition: Partition, symbols=None, columns=None) -> DataFrame:
@@ -87,6 +98,12 @@ def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("symbol", F.split("_file", "_")[0]).drop("_file")
 
 
+def read_matrix(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """A stored wide matrix (ts, a column a symbol) back as long rows (ts, symbol, metric); NULLs go."""
+    wide = spark.read.parquet(path)
+    return wide.unpivot(["ts"], [c for c in wide.columns if c != "ts"], "symbol", metric).filter(F.col(f"`{metric}`").isNotNull())
+
+
 def migrate_csv(spark: SparkSession, folder: str, drop_zero_volume: bool = False) -> DataFrame:
     """Clean bars from a folder of CSV files; what can't be read as a bar is dropped by the cleaning rules."""
     return clean_bars(normalize_bars(read_csv_folder(spark, folder)), drop_zero_volume)

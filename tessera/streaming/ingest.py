@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.cleaning import clean_bars, merge_bars
 from tessera.schemas import BAR, Partition
+from tessera.session import scratch
 from tessera.sources.bars import read_bars, write_bars
 
 
@@ -15,20 +16,19 @@ def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge_stream(incoming: DataFrame, root: str, partition: Partition, checkpoint: str) -> StreamingQuery:
-    """Process what has arrived, then stop. A batch that is run again merges to the same lake."""
+    """Process what has arrived, then stop. A batch that is run again merges to the same lake.
+
+    A batch rewrites the partition that it falls in: bars that come often should go to small partitions.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = clean_bars(batch)
-        try:
-            old = read_bars(spark, root, partition)
-            merged = merge_bars(old, new)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            merged = new
-        staged = merged.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else merged.persist()
-        staged.count()
-        write_bars(staged, root, partition)
+        merged = merge_bars(read_bars(spark, root, partition), clean_bars(batch))
+        # Written beside the lake first, as the merge reads what it is to replace.
+        staged = scratch(spark, "stream-batch")
+        merged.write.parquet(staged)
+        write_bars(spark.read.schema(merged.schema).parquet(staged), root, partition)
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -68,7 +68,7 @@ class Encoder:
 
     _DOUBLE, _ALONE, _WHITE = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
 
-    def __init__(self, path: str, remember: int = 1_800_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -109,7 +109,7 @@ class Encoder:
         for known, new in ((self._first, {s[0] for s in cut}), (self._later, set().union(*[s[1:] for s in cut]))):
             if len(known) > self._limit:
                 known.clear()
-            new.difference_update(known)
+            new = new.difference(known)  # looks the new ones up, where difference_update would run over all known ones
             if new:
                 self._learn(known, list(new), " " if known is self._later else "")
         later = self._later.__getitem__

@@ -31,7 +31,7 @@ from tessera.llm.common import materialize
 
 WINDOW = 1024
 #: Pieces in a shard, on average; more only save a little padding.
-SHARD_PIECES = 8_000
+SHARD_PIECES = 4_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -68,7 +68,7 @@ class Encoder:
 
     _DOUBLE, _ALONE, _WHITE = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
             at = 0
             while at < len(ids):  # some MB of text at a time
                 end, held = at, 0
-                while end < len(ids) and held < 3_000_000:
+                while end < len(ids) and held < 1_000_000:
                     held += sizes[end]
                     end += 1
                 rows = []

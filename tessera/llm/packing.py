@@ -5,9 +5,8 @@ one remainder. Pieces are dealt evenly into shards of bounded size and each shar
 own: pieces in decreasing length, each into the open window with the least room that still holds
 it, found by a segment tree over remaining capacity. No task sees more than one shard.
 
-The tokenizer is called on space-separated segments and its answers are remembered in a bounded
-table per worker; that is exact for byte-level pre-tokenisation, which never joins text across a
-single space that has no other white space next to it.
+Whole texts are encoded by the ranks of the vocabulary, which gives the library's ids for byte-level
+BPE; a worker holds the vocabulary and some MB of text, and remembers nothing from text to text.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null
 id is carried along; an empty table gives no pieces; other columns are ignored.
@@ -56,7 +55,8 @@ def _rank_encoder(path: str):
     if made != sorted(set(made)):
         return None
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # No special token is ever allowed in a text, but with none known an empty pattern would be looked for at every character.
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"\0\0": len(vocabulary)})
 
 
 #: Fixed value: the pre-tokens of byte-level BPE.
@@ -64,64 +64,30 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    """Token ids of texts as little-endian uint32 bytes, by a `tokenizers` file."""
+    """Token ids of texts as little-endian uint32 bytes, by a `tokenizers` file.
 
-    _DOUBLE, _ALONE, _WHITE = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
+    Byte-level BPE goes through its ranks. What that can't take is left to the library itself: texts that hold
+    an added token, runs of white space for which the pattern would need a deep stack, and files of another kind.
+    """
+
+    _RUN = re.compile(r"\s{10000}")
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._limit = Tokenizer.from_file(path), remember
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        # Texts that hold an added token, or white space within a segment, are left to the library itself.
+        self._tokenizer, self._ranked = Tokenizer.from_file(path), _rank_encoder(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._ranked = _rank_encoder(path)
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        plain = [s for s in new if s and not self._WHITE.search(s) and not any(t in s for t in self._added)] if lead else []
-        for at in range(0, len(plain), 512):
-            self._learn_joined(known, plain[at : at + 512])
-        rest = [s for s in new if s not in known] if plain else new
-        for at in range(0, len(rest), 2000):
-            part = rest[at : at + 2000]
-            for s, e in zip(part, self._tokenizer.encode_batch_fast([lead + s for s in part], add_special_tokens=False), strict=True):
-                known[s] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def _learn_joined(self, known: dict[str, bytes], part: list[str]) -> None:
-        """Segments without white space in one call: each begins with the only token that starts with a space."""
-        text = " " + " ".join(part)
-        found = self._ranked.encode_ordinary(text) if self._ranked else self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        ids = np.asarray(found, dtype="<u4")
-        starts = (4 * np.flatnonzero(self._spaced[ids])).tolist()
-        if len(starts) != len(part) or starts[0]:
-            return  # a vocabulary of another kind: the caller encodes them one by one
-        raw = ids.tobytes()
-        known.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what is new in all of them is learnt together."""
-        cut = [self._ALONE.split(t) if self._DOUBLE.search(t) else t.split(" ") for t in texts]
-        for known, new in ((self._first, {s[0] for s in cut}), (self._later, set().union(*[s[1:] for s in cut]))):
-            if len(known) > self._limit:
-                known.clear()
-            new = new.difference(known)  # looks the new ones up, where difference_update would run over all known ones
-            if new:
-                self._learn(known, list(new), " " if known is self._later else "")
-        later = self._later.__getitem__
-        return [self._first[s[0]] + b"".join(map(later, s[1:])) for s in cut]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        if self._ranked and not any(t in text for t in self._added) and not self._RUN.search(text):
+            return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One per worker process, which keeps what it has learnt from task to task."""
+    """One per worker process, which reads the vocabulary once."""
     return Encoder(path)
 
 
@@ -130,29 +96,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = _encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            ids, texts, sizes = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+            ids, texts, sizes = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             at = 0
             while at < len(ids):  # some MB of text at a time
                 end, held = at, 0
                 while end < len(ids) and held < 1_000_000:
                     held += sizes[end]
                     end += 1
-                rows = []
-                for doc_id, raw in zip(ids[at:end], encoder.encode_all(texts.slice(at, end - at).to_pylist()), strict=True):
-                    raw += stop
-                    n = len(raw) // 4
-                    rows += [(doc_id, k, min(window, n - k), n, raw[4 * k : 4 * (k + window)]) for k in range(0, n, window)]
-                yield _batch(rows, schema)
+                yield from _cut(ids.slice(at, end - at), [encoder.encode(t) + stop for t in texts.slice(at, end - at).to_pylist()], window)
                 at = end
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), text, F.octet_length(text)).mapInArrow(cut, PIECES)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _cut(doc_ids: pa.Array, found: list[bytes], window: int, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The windows of the documents' ids, `most` to a batch; they lie end to end, so their bytes are taken as they are."""
+    tokens = np.array([len(x) // 4 for x in found], np.int64)
+    pieces = -(-tokens // window)
+    of = np.repeat(np.arange(len(found)), pieces)
+    start = window * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    length = np.minimum(window, tokens[of] - start)
+    ends, raw = 4 * np.cumsum(length), memoryview(b"".join(found))
+    for at in range(0, len(of), most):
+        part = slice(at, at + most)
+        first = int(ends[at] - 4 * length[at])
+        offsets = np.concatenate([[0], ends[part] - first]).astype(np.int32)
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[first : first + int(offsets[-1])])])
+        columns = [doc_ids.take(pa.array(of[part])), pa.array(start[part]), pa.array(length[part]), pa.array(tokens[of[part]]), ids]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

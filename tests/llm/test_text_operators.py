@@ -90,11 +90,34 @@ def test_best_fit_decreasing_takes_the_tightest_window():
 def test_encoder_equals_whole_text_encoding():
     from tokenizers import Tokenizer
 
-    tokenizer, encoder = Tokenizer.from_file(BYTES), packing.Encoder(BYTES, remember=50)
-    for text in [r[1] or "" for r in documents()] + ["a  b", " a", "a ", "x \n y", "<|endoftext|> z<|endoftext|>", "it's we'll", "\t\t a"]:
+    tokenizer, encoder = Tokenizer.from_file(BYTES), packing.Encoder(BYTES)
+    hard = ["a  b", " a", "a ", "x \n y", "<|endoftext|> z<|endoftext|>", "it's we'll", "\t\t a", "", "\0\0\0 \0\0", "a" * 30_000, "^" * 30_000, "漢" * 9_000]
+    hard += ["x" + white * n + "y" for white in (" ", "\n", " \t", "\u3000", "\x85") for n in (9_999, 10_000, 1_000_000)]
+    for text in [r[1] or "" for r in documents()] + hard:
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_equals_the_library_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(BYTES), packing.Encoder(BYTES)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "\nq".join(f"a {chr(c)} b{chr(c)}{chr(c)}1{chr(c)} " for c in points[at : at + 4096])
+        assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_windows_of_ids_lie_end_to_end():
+    import pyarrow as pa
+
+    found = [np.arange(1, n + 1, dtype="<u4").tobytes() for n in (1, 7, 3, 8, 16, 5)]
+    for most in (1, 2, 100):
+        rows = [r for b in packing._cut(pa.array([4, None, 2, 2, 0, 9]), found, 4, most) for r in b.to_pylist()]
+        expected = [(d, at, x[4 * at : 4 * at + 16], len(x) // 4) for d, x in zip([4, None, 2, 2, 0, 9], found, strict=True) for at in range(0, len(x) // 4, 4)]
+        assert [(r["doc_id"], r["start"], r["ids"], r["doc_tokens"]) for r in rows] == expected
+        assert all(r["length"] * 4 == len(r["ids"]) for r in rows)
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 

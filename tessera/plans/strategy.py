@@ -12,12 +12,14 @@ import tempfile
 import tomllib
 from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, portfolio, signals, simulate
+from tessera.session import scratch, stored
 
 
 @dataclass(frozen=True)
@@ -171,19 +173,32 @@ def run(spec: Spec, panel: DataFrame, groups: DataFrame | None = None, run_id: s
     return simulate.simulate(_market(spec, panel), own, simulate.Execution(**spec.execution), simulate.Costs(**spec.costs), simulate.Risk(**spec.risk))
 
 
+#: Target plans of a sweep that the driver holds at once.
+BATCH = 8
+
+
 def sweep(spec: Spec, panel: DataFrame, grid: dict[str, list], section: str = "construction", groups: DataFrame | None = None) -> tuple[DataFrame, dict[str, dict]]:
-    """Every combination of the grid as one job: (result rows, parameters by run_id)."""
+    """Every combination of the grid, simulated as one job: (result rows, parameters by run_id).
+
+    Panel, groups and targets are stored first, as they stand in many places of the plans that follow: the
+    driver's plans don't grow with the panel's own plan, nor with the grid.
+    """
     names, combinations = list(grid), list(itertools.product(*grid.values()))
+    if not combinations:
+        raise ValueError(f"a grid without combinations: {grid}")
     parameters = {f"sweep-{k:04d}": dict(zip(names, values, strict=True)) for k, values in enumerate(combinations)}
     engine = section in ("execution", "costs", "risk")
-    parts = []
-    shared = targets(spec, panel, groups).persist() if engine else None
-    for run_id, own in parameters.items():
-        made = shared if engine else targets(spec.override(section, **own), panel, groups)
-        parts.append(made.withColumn("run_id", F.lit(run_id)))
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
+    spark, panel = panel.sparkSession, stored(panel, "sweep-panel")
+    groups = stored(groups, "sweep-groups") if groups is not None else None
+    if engine:
+        runs = spark.createDataFrame([(run_id,) for run_id in parameters], "run_id string")
+        together = stored(targets(spec, panel, groups), "sweep-targets").crossJoin(F.broadcast(runs))  # one row a run
+    else:
+        path = scratch(spark, "sweep-targets")
+        for some in itertools.batched(parameters.items(), BATCH):
+            parts = [targets(spec.override(section, **own), panel, groups).withColumn("run_id", F.lit(run_id)) for run_id, own in some]
+            reduce(DataFrame.unionByName, parts).write.mode("append").parquet(path)
+        together = spark.read.schema(parts[0].schema).parquet(path)
     result = simulate.simulate(_market(spec, panel), together, simulate.Execution(**spec.execution), simulate.Costs(**spec.costs), simulate.Risk(**spec.risk), parameters if engine else None)
     return result, parameters
 

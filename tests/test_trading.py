@@ -254,3 +254,22 @@ def test_strategy_end_to_end(spark, tmp_path):
     assert strategy.load_run(spark, f"{tmp_path}/t/one")["equity"].count() == 60 and strategy.latest_run(str(tmp_path), "t") == "one"
     assert strategy.baselines(spec, p, top=5).count() == 2
     assert strategy.select_universe(p, 3).count() == 3
+
+
+def test_sweep_plans_grow_neither_with_the_grid_nor_with_the_panel(spark):
+    p = strategy_panel(spark)
+    deep = p.join(p.select("ts", "symbol"), ["ts", "symbol"]).join(p.select("ts", "symbol"), ["ts", "symbol"])
+    spec = strategy.Spec.from_dict({"name": "t", "components": [{"signal": "metric", "parameters": {"metric": "mom"}}], "constraints": {"max_group_weight": 0.2}})
+    groups = p.select("symbol", F.substring("symbol", 2, 1).alias("grp")).distinct()
+    leaves = lambda result: result._jdf.queryExecution().analyzed().collectLeaves().size()
+    for section, name, values in (("costs", "half_spread_bps", [0.0, 20.0, 50.0]), ("construction", "gross", [k / 10 for k in range(1, strategy.BATCH + 2)])):
+        one, _ = strategy.sweep(spec, p, {name: values[:1]}, section, groups)
+        many, parameters = strategy.sweep(spec, deep, {name: values}, section, groups)
+        assert leaves(many) == leaves(one) < 30
+        assert [own[name] for own in parameters.values()] == values
+        got = many.filter(F.col("run_id").isin(min(parameters), max(parameters))).orderBy("run_id").collect()
+        for row, run_id in zip(got, (min(parameters), max(parameters)), strict=True):
+            alone = strategy.run(spec.override(section, **parameters[run_id]), p, groups, run_id=run_id).first()
+            assert [e.equity for e in row.equity] == pytest.approx([e.equity for e in alone.equity]) and len(row.trades) == len(alone.trades) > 0
+    with pytest.raises(ValueError):
+        strategy.sweep(spec, p, {"half_spread_bps": []}, "costs")
